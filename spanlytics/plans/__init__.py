@@ -1,0 +1,10 @@
+"""Named queries over the tables; importing a module registers its queries."""
+
+from importlib import import_module
+
+MODULES = ["scoring"]
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"spanlytics.plans.{name}")

@@ -91,16 +91,17 @@ pairs as materialized (
   from pred p join gold g on p.review_id = g.review_id and p.ts < g.tj and g.ts < p.tj
   where p.status in ('exact','normalized','fuzzy') and p.tj > p.ts)"""
 UNITS = f"""
+best as (
+  select {KEYS}, review_id, g_idx, arg_max(p_label, (ov, iou, -p_idx)) pred_label, max(iou) best_iou, max(exact::int) exact
+  from pairs group by all),
 units as materialized (
   select r.dataset, r.backend, r.config_id, r.run, r.round, r.review_id, g.g_idx,
-    r.review_id || '#' || g.g_idx unit_id, g.label gold_label,
-    arg_max(q.p_label, (q.ov, q.iou, -q.p_idx)) pred_label,
-    coalesce(max(q.iou), 0) best_iou, coalesce(max(q.exact::int), 0) exact,
-    coalesce(arg_max(q.p_label, (q.ov, q.iou, -q.p_idx)) = g.label, false)::int correct
+    r.review_id || '#' || g.g_idx unit_id, g.label gold_label, b.pred_label,
+    coalesce(b.best_iou, 0) best_iou, coalesce(b.exact, 0) exact,
+    coalesce(b.pred_label = g.label, false)::int correct
   from results r join gold g on g.review_id = r.review_id
-  left join pairs q on q.backend = r.backend and q.config_id = r.config_id and q.run = r.run and q.round = r.round
-    and q.review_id = r.review_id and q.g_idx = g.g_idx
-  group by all)"""
+  left join best b on b.backend = r.backend and b.config_id = r.config_id and b.run = r.run and b.round = r.round
+    and b.review_id = r.review_id and b.g_idx = g.g_idx)"""
 # Greedy matching: pairs of one (run, review, label) are cut into islands of touching spans, ranked,
 # and walked in rank order with the lists of used predictions and gold spans.
 MATCHES = f"""
