@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -101,33 +102,33 @@ def _rows(fn, *series: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _rows(lambda v, k: gamma_sf(k / 2.0, v / 2.0), x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _rows(lambda v, a, b: beta_cdf(b / 2.0, a / 2.0, b / (b + a * v)) if v > 0 else 1.0, x, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _rows(normal_two_sided, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _rows(student_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binom_half_cdf(k: pd.Series, n: pd.Series) -> pd.Series:
     """P(X <= k) for n fair coin flips."""
     return _rows(lambda a, m: 1.0 if a >= m else beta_cdf(m - a, a + 1.0, 0.5), k, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binom_half_pmf(k: pd.Series, n: pd.Series) -> pd.Series:
     return _rows(
         lambda a, m: math.exp(math.lgamma(m + 1) - math.lgamma(a + 1) - math.lgamma(m - a + 1) - m * math.log(2)), k, n

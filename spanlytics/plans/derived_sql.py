@@ -56,10 +56,12 @@ tokens as materialized (
   from placed where not regexp_full_match(tok, '\\s+'))"""
 SPANS = """
 spans as materialized (
-  select g.*, a.s c_start, b.e c_end, substr(r.text, a.s + 1, b.e - a.s) span_text
-  from gold g join tokens a on a.review_id = g.review_id and a.tok_idx = g.ts
-  join tokens b on b.review_id = g.review_id and b.tok_idx = g.tj - 1
-  join reviews r on r.review_id = g.review_id)"""
+  select g.*, a.s c_start, b.e c_end from gold g
+  join tokens a on a.review_id = g.review_id and a.tok_idx = g.ts
+  join tokens b on b.review_id = g.review_id and b.tok_idx = g.tj - 1)"""
+SPAN_TEXT = """
+texted as (
+  select s.*, substr(r.text, c_start + 1, c_end - c_start) span_text from spans s join reviews r using (review_id))"""
 
 
 PRED = f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the cluster, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_spanlytics_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="spark-"), "spanlytics_code"), "zip", root, "spanlytics"
+    )
+    sc.addPyFile(archive)
+    sc._spanlytics_shipped = True

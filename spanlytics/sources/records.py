@@ -34,11 +34,11 @@ def clean_gold(text, spans) -> Column:
         return let(
             F.struct(canonical_label(s["label"]).alias("c"), trim_span(text, s["start"], s["end"]).alias("t")),
             lambda p: F.struct(
-                p["t.start"].alias("start"),
-                p["t.end"].alias("end"),
+                p["t"]["start"].alias("start"),
+                p["t"]["end"].alias("end"),
                 i.alias("given"),
-                p["c.label"].alias("label"),
-                F.coalesce(s["occurrence"], p["c.occurrence"].cast("int")).alias("occurrence"),
+                p["c"]["label"].alias("label"),
+                F.coalesce(s["occurrence"], p["c"]["occurrence"].cast("int")).alias("occurrence"),
                 F.coalesce(s["raw_label"], s["label"]).alias("raw_label"),
             ),
         )
