@@ -164,13 +164,15 @@ def align_responses(
     )
 
 
-def passage_candidates(docs: DataFrame, passages: DataFrame, min_chars: int = Q + W - 1, rarest_only: bool = True) -> DataFrame:
+def passage_candidates(
+    docs: DataFrame, passages: DataFrame, min_chars: int = Q + W - 1, rarest_only: bool = True, min_share: float = 0.2
+) -> DataFrame:
     """(item_id, review_id) pairs that may hold a passage, by an equi-join on winnowed fingerprints.
 
     A verbatim passage has all its fingerprints in the document, so one of them is enough; the one
-    found in the fewest documents is used. With ``rarest_only=False`` every shared fingerprint makes
-    a candidate, which also admits altered passages. ``passages`` shorter than ``min_chars`` use
-    single trigrams instead of windows.
+    found in the fewest documents is used. With ``rarest_only=False`` a document that shares at least
+    ``min_share`` of the passage's fingerprints is a candidate, which also admits altered passages.
+    ``passages`` shorter than ``min_chars`` use single trigrams instead of windows.
     """
 
     def side(df, key, q, w):
@@ -187,7 +189,10 @@ def passage_candidates(docs: DataFrame, passages: DataFrame, min_chars: int = Q
             )
             total = wanted.groupBy("item_id").agg(F.count("*").alias("total"))
             wanted = best.join(total, "item_id").filter(F.col("present") == F.col("total")).select("item_id", "fp")
-        return seen.join(wanted, "fp").select("item_id", "review_id").distinct()
+            return seen.join(wanted, "fp").select("item_id", "review_id").distinct()
+        need = wanted.groupBy("item_id").agg(F.ceil(F.count("*") * F.lit(min_share)).alias("need"))
+        shared = seen.join(wanted, "fp").groupBy("item_id", "review_id").agg(F.count("*").alias("shared"))
+        return shared.join(need, "item_id").filter(F.col("shared") >= F.col("need")).select("item_id", "review_id")
 
     if passages.filter(F.length("text") < min_chars).isEmpty():
         return one(True, Q, W)
@@ -198,7 +203,7 @@ def recover_passages(docs: DataFrame, passages: DataFrame, mode: str = "exact",
     """Locate passages whose document is unknown: candidates first, then the usual matching.
 
     Exact mode is complete for passages of at least three characters. The other modes look at
-    documents that share at least one fingerprint with the passage in the matching form.
+    documents that share a part of the fingerprints of the passage in the matching form.
     """
     if mode == "exact":
         pairs = passage_candidates(docs, passages, **options)

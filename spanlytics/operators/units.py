@@ -80,6 +80,10 @@ def context_windows(reviews: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _label_count(label: str):
+    return F.size(F.filter("spans", lambda s: s["label"] == label))
+
+
 def corpus_statistics(reviews: DataFrame, by: list[str] = ()) -> DataFrame:
     """Review and unit counts, tokens per unit, label counts and shares, offset ranges.
 
@@ -89,7 +93,7 @@ def corpus_statistics(reviews: DataFrame, by: list[str] = ()) -> DataFrame:
         *by,
         F.size("spans").alias("n"),
         F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + (s["tj"] - s["ts"])).alias("tokens"),
-        *[F.size(F.filter("spans", lambda s, lab=lab: s["label"] == lab)).alias(f"n_{lab}") for lab in LABELS],
+        *[_label_count(lab).alias(f"n_{lab}") for lab in LABELS],
         F.array_min(F.transform("spans", lambda s: s["start"])).alias("s0"),
         F.array_max(F.transform("spans", lambda s: s["start"])).alias("s1"),
         F.array_min(F.transform("spans", lambda s: s["end"])).alias("e0"),

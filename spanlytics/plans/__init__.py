@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["corpus", "scoring", "statistics"]
+MODULES = ["corpus", "scoring", "statistics", "annotation", "articles"]
 
 
 def load_all() -> None:
