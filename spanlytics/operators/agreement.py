@@ -45,13 +45,13 @@ def fleiss_kappa(df: DataFrame, unit: str, category: str, by: list[str] = ()) ->
     if not by:
         return fleiss_kappa(df.withColumn("_all", F.lit(0)), unit, category, ["_all"]).drop("_all")
     cell = df.groupBy(*by, unit, F.col(category).alias("_cat")).agg(F.count("*").cast("double").alias("n"))
-    per_unit = cell.groupBy(*by, unit).agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    raters = F.max("k")
+    per_unit = cell.groupBy(*by, unit).agg(F.sum("n").alias("_k"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+    raters = F.max("_k")
     mean = per_unit.groupBy(*by).agg(
         F.count("*").alias("n_units"),
-        F.min("k").alias("k_min"),
-        raters.alias("k"),
-        F.avg((F.col("sq") - F.col("k")) / F.nullif(F.col("k") * (F.col("k") - 1), F.lit(0.0))).alias("p_bar"),
+        F.min("_k").alias("k_min"),
+        raters.alias("_k"),
+        F.avg((F.col("sq") - F.col("_k")) / F.nullif(F.col("_k") * (F.col("_k") - 1), F.lit(0.0))).alias("p_bar"),
     )
     shares = (
         cell.groupBy(*by, "_cat")
@@ -64,7 +64,7 @@ def fleiss_kappa(df: DataFrame, unit: str, category: str, by: list[str] = ()) ->
     return both.select(
         *by,
         "n_units",
-        F.when(F.col("k_min") != F.col("k"), F.raise_error(F.lit("units have different numbers of ratings")).cast("double"))
+        F.when(F.col("k_min") != F.col("_k"), F.raise_error(F.lit("units have different numbers of ratings")).cast("double"))
         .otherwise(value)
         .alias("fleiss_kappa"),
     )
@@ -73,13 +73,13 @@ def fleiss_kappa(df: DataFrame, unit: str, category: str, by: list[str] = ()) ->
 def icc_oneway(df: DataFrame, subject: str, value: str, by: list[str] = ()) -> DataFrame:
     """ICC(1,1) from one row per rating with equally many ratings per subject."""
     per = df.groupBy(*by, subject).agg(
-        F.count(value).cast("double").alias("k"), F.avg(value).alias("m"), F.var_samp(value).alias("v")
+        F.count(value).cast("double").alias("_k"), F.avg(value).alias("m"), F.var_samp(value).alias("v")
     )
     total = per.groupBy(*by).agg(
-        F.count("*").alias("n_subjects"), F.max("k").alias("k"), F.var_samp("m").alias("vm"), F.avg("v").alias("msw")
+        F.count("*").alias("n_subjects"), F.max("_k").alias("_k"), F.var_samp("m").alias("vm"), F.avg("v").alias("msw")
     )
-    msb = F.col("k") * F.col("vm")
-    icc = F.try_divide(msb - F.col("msw"), msb + (F.col("k") - 1) * F.col("msw"))
+    msb = F.col("_k") * F.col("vm")
+    icc = F.try_divide(msb - F.col("msw"), msb + (F.col("_k") - 1) * F.col("msw"))
     return total.select(*by, "n_subjects", msb.alias("msb"), "msw", icc.alias("icc"))
 
 

@@ -47,8 +47,8 @@ def ranked_values(df: DataFrame, by: list[str], value: str, extra: dict | None =
 def winsorize(df: DataFrame, value: str, q: float = 0.99, out: str | None = None) -> DataFrame:
     """Cap at the observed order statistic number ``ceil(q (n - 1))``; adds the cap as ``cap``."""
     values = ranked_values(df, [], value)
-    total = values.agg(F.sum("n").alias("N"))
-    place = F.ceil(F.lit(q) * (F.col("N") - 1)) + 1
+    total = values.agg(F.sum("n").alias("_total"))
+    place = F.ceil(F.lit(q) * (F.col("_total") - 1)) + 1
     cap = (
         values.withColumn("_one", F.lit(1))
         .join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")  # one row
@@ -112,12 +112,12 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """H with tie correction and its chi-square p."""
     cells = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v"), group).agg(F.count("*").alias("m"))
     values = cumulative_counts(cells.groupBy("v").agg(F.sum("m").alias("n")), [])
-    ties = values.agg(F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"), F.sum("n").cast("double").alias("N"))
+    ties = values.agg(F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"), F.sum("n").cast("double").alias("_total"))
     ranks = values.select("v", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
     sums = cells.join(ranks, "v").groupBy(group).agg(F.sum(F.col("m") * F.col("rank")).alias("r"), F.sum("m").alias("m"))
     stat = sums.agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.count("*").alias("k"))
     both = stat.withColumn("_one", F.lit(1)).join(ties.withColumn("_one", F.lit(1)), "_one")
-    n = F.col("N")
+    n = F.col("_total")
     raw = 12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
     h = F.try_divide(raw, 1 - F.col("ties") / (F.pow(n, F.lit(3)) - n))
     return both.select(F.col("k"), n.cast("bigint").alias("n"), h.alias("H"), (F.col("k") - 1).cast("double").alias("_df")).withColumn(

@@ -279,14 +279,14 @@ def penalised_regression(
     """
     p = len(features)
     rows = df.dropna(subset=[*features, y]).select(
-        *[F.col(f).cast("double").alias(f) for f in features], F.log1p(F.col(y).cast("double")).alias("t"), F.col(key).alias("k")
+        *[F.col(f).cast("double").alias(f) for f in features], F.log1p(F.col(y).cast("double")).alias("_target"), F.col(key).alias("_key")
     )
     stats = rows.agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in features]).first()
     z = [((F.col(f) - stats[f]["m"]) / (stats[f]["s"] or 1.0)).alias(f) for f in features]
-    cell = (stable_hash(F.lit("outer"), F.lit(seed), "k") % folds * inner + stable_hash(F.lit("inner"), F.lit(seed), "k") % inner).cast("int")
-    terms = [F.lit(1.0), *[F.col(f) for f in features], F.col("t"), F.col("t") * F.col("t")]
-    terms += [F.col(f) * F.col("t") for f in features] + [F.col(a) * F.col(b) for a in features for b in features]
-    sums = rows.select(*z, "t", cell.alias("cell")).groupBy("cell").agg(*[F.sum(e).alias(f"s{i}") for i, e in enumerate(terms)]).collect()
+    cell = (stable_hash(F.lit("outer"), F.lit(seed), "_key") % folds * inner + stable_hash(F.lit("inner"), F.lit(seed), "_key") % inner).cast("int")
+    terms = [F.lit(1.0), *[F.col(f) for f in features], F.col("_target"), F.col("_target") * F.col("_target")]
+    terms += [F.col(f) * F.col("_target") for f in features] + [F.col(a) * F.col(b) for a in features for b in features]
+    sums = rows.select(*z, "_target", cell.alias("cell")).groupBy("cell").agg(*[F.sum(e).alias(f"s{i}") for i, e in enumerate(terms)]).collect()
     zero = np.zeros(len(terms))
     cells = {c: _Sums(zero, p) for c in range(folds * inner)}
     cells.update({r["cell"]: _Sums(np.array([float(v) for v in r[1:]]), p) for r in sums})

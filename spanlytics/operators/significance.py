@@ -229,12 +229,12 @@ def anova_oneway(df: DataFrame, group: str, value: str, by: list[str] = ()) -> D
     total = groups.groupBy(*by).agg(
         F.count("*").alias("k"),
         F.min("n").alias("least"),
-        F.sum("n").alias("N"),
+        F.sum("n").alias("_total"),
         F.sum(n * F.col("v")).alias("ssw"),
         (F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / F.sum("n")).alias("ssb"),
     )
     fine = (F.col("k") >= 2) & (F.col("least") >= 2)
-    d1, d2 = (F.col("k") - 1).cast("double"), (F.col("N") - F.col("k")).cast("double")
+    d1, d2 = (F.col("k") - 1).cast("double"), (F.col("_total") - F.col("k")).cast("double")
     f = F.try_divide(F.col("ssb") / d1, F.col("ssw") / d2)
     out = total.select(*by, F.when(fine, f).alias("F"), d1.alias("df1"), d2.alias("df2"))
     return out.withColumn("p", f_sf("F", "df1", "df2"))

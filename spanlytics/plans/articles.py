@@ -12,7 +12,7 @@ from spanlytics.operators import regress as RG
 from spanlytics.plans import derived as D
 from spanlytics.plans.derived_sql import h
 from spanlytics.plans.registry import query, r6, rounded
-from spanlytics.plans.statistics import beta_cdf_sql, chi2_sf_sql, normal_two_sided_sql
+from spanlytics.plans.statistics import chi2_sf_sql, normal_two_sided_sql, student_two_sided_sql
 from spanlytics.session import materialize
 from spanlytics.sources import articles as AR
 
@@ -226,7 +226,7 @@ AVGRANK = "(rank() over (partition by feature order by {c}) + (count(*) over (pa
     ANALYSIS
     + f""", l as ({_long(FE.CORE)}), r as (select feature, {AVGRANK.format(c='x')} rx, {AVGRANK.format(c='yy')} ry from l),
     s as (select feature, count(*) n, corr(rx, ry) rho from r group by feature), t as (select *, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) t from s)
-    select feature, n, {r6('rho')} rho, {r6(beta_cdf_sql('(n - 2) / (n - 2 + t * t)', '((n - 2) / 2.0)', '0.5'))} p from t""",
+    select feature, n, {r6('rho')} rho, {r6(student_two_sided_sql('t', '(n - 2)'))} p from t""",
 )
 def spearman_matrix(spark, sf):
     return rounded(RK.spearman(_analysis(spark, sf), FE.CORE))

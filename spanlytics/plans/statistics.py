@@ -43,6 +43,11 @@ def beta_cdf_sql(x: str, a: str, b: str, n: int = 20000) -> str:
     return simpson(f, f"greatest(0.0, ({x}) - 0.5)", x, n)
 
 
+def student_two_sided_sql(t: str, df: str) -> str:
+    f = lambda x: f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0) - ln(({df}) * pi()) / 2 - (({df}) + 1) / 2.0 * ln(1 + {x} * {x} / ({df})))"
+    return f"(1 - 2 * {simpson(f, '0.0', f'abs({t})', 4000)})"
+
+
 def binom_cdf_sql(k: str, n: str) -> str:
     return (
         f"list_sum(list_transform(range(0, ({k})::bigint + 1), lambda i: exp(lgamma(({n}) + 1) - lgamma(i + 1)"
