@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from spanlytics.functions.tokens import TOKEN_PATTERN
 from spanlytics.plans.derived import RUNS, STEP, SYSTEMS
+from spanlytics.plans.registry import r6
 
 LABEL_LIST = "['Eval_pos','Eval_neg','Jus_pos','Jus_neg','Major_Claim']"
 LABEL_IN = "('Eval_pos','Eval_neg','Jus_pos','Jus_neg','Major_Claim')"
@@ -54,11 +55,12 @@ placed as (
 tokens as materialized (
   select review_id, row_number() over (partition by review_id order by pos) - 1 tok_idx, s, s + n e, tok
   from placed where not regexp_full_match(tok, '\\s+'))"""
+# two steps, so that the two token lookups are never joined with each other first
 SPANS = """
+begun as materialized (
+  select g.*, a.s c_start from gold g join tokens a on a.review_id = g.review_id and a.tok_idx = g.ts),
 spans as materialized (
-  select g.*, a.s c_start, b.e c_end from gold g
-  join tokens a on a.review_id = g.review_id and a.tok_idx = g.ts
-  join tokens b on b.review_id = g.review_id and b.tok_idx = g.tj - 1)"""
+  select g.*, b.e c_end from begun g join tokens b on b.review_id = g.review_id and b.tok_idx = g.tj - 1)"""
 SPAN_TEXT = """
 texted as (
   select s.*, substr(r.text, c_start + 1, c_end - c_start) span_text from spans s join reviews r using (review_id))"""
@@ -141,11 +143,11 @@ def tau_sql(taus) -> str:
     return "taus(tau) as (values " + ",".join(f"({t}::double)" for t in taus) + ")"
 
 
-METRICS = """
-    case when n_units > 0 then round(n_correct::double / n_units, 6) end accuracy,
-    round(coalesce(tp::double / nullif(tp + fp, 0), 0), 6) "precision",
-    round(coalesce(tp::double / nullif(tp + fn, 0), 0), 6) recall,
-    round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) f1"""
+METRICS = f"""
+    case when n_units > 0 then {r6("n_correct::double / n_units")} end accuracy,
+    {r6("coalesce(tp::double / nullif(tp + fp, 0), 0)")} "precision",
+    {r6("coalesce(tp::double / nullif(tp + fn, 0), 0)")} recall,
+    {r6("coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)")} f1"""
 
 
 def review_counts_sql(taus=(0.5,)) -> str:
