@@ -19,6 +19,11 @@ MAX_LEVELS = 500
 TAUS = (0.25, 0.5, 0.75, 0.9)
 
 
+def _plain(table: list[tuple]) -> list[tuple]:
+    """Numpy scalars as Python numbers."""
+    return [tuple(v.item() if isinstance(v, np.generic) else v for v in row) for row in table]
+
+
 def design(df: DataFrame, features: list[str], y: str, year: str | None = "year") -> tuple[DataFrame, list[str]]:
     """Intercept, features and year dummies (first year left out) as double columns; complete rows only."""
     rows = df.dropna(subset=[*features, y, *([year] if year else [])])
@@ -119,7 +124,7 @@ def nb_regression(df: DataFrame, features: list[str], y: str, year: str | None =
         stat = coef / s if s > 0 else math.nan
         table.append((name, float(coef), float(s), float(stat), normal_two_sided(stat), float(coef - z * s), float(coef + z * s), math.exp(coef), float(ll), float(2 * (p + 1) - 2 * ll), int(n)))
     return df.sparkSession.createDataFrame(
-        table, "name string, coef double, se double, z double, p double, ci_low double, ci_high double, irr double, llf double, aic double, n long"
+        _plain(table), "name string, coef double, se double, z double, p double, ci_low double, ci_high double, irr double, llf double, aic double, n long"
     )
 
 
@@ -192,7 +197,7 @@ def quantile_regression(
             if name in features:
                 stat = coef / s if s > 0 else math.inf
                 table.append((float(t), name, float(coef), float(coef - crit * s), float(coef + crit * s), student_two_sided(stat, df_resid)))
-    return df.sparkSession.createDataFrame(table, "tau double, feature string, coef double, ci_low double, ci_high double, p double")
+    return df.sparkSession.createDataFrame(_plain(table), "tau double, feature string, coef double, ci_low double, ci_high double, p double")
 
 
 # ----------------------------------------------------------------- penalised linear models
@@ -200,17 +205,18 @@ def quantile_regression(
 
 def _descend(gram: np.ndarray, xy: np.ndarray, l1: float, l2: float, start: np.ndarray) -> np.ndarray:
     """Coordinate descent for min 1/2 b'Gb - b'c + l1 |b| + l2/2 b'b on a small Gram matrix."""
-    b = start.copy()
-    for _ in range(2000):
+    rows, target, b = gram.tolist(), xy.tolist(), start.tolist()
+    for _ in range(300):
         change = 0.0
-        for j in range(len(b)):
-            rho = xy[j] - gram[j] @ b + gram[j, j] * b[j]
-            new = math.copysign(max(abs(rho) - l1, 0.0), rho) / (gram[j, j] + l2) if gram[j, j] + l2 > 0 else 0.0
+        for j, row in enumerate(rows):
+            rho = target[j] - sum(g * v for g, v in zip(row, b)) + row[j] * b[j]
+            scale = row[j] + l2
+            new = math.copysign(max(abs(rho) - l1, 0.0), rho) / scale if scale > 0 else 0.0
             change = max(change, abs(new - b[j]))
             b[j] = new
-        if change < 1e-9:
+        if change < 1e-5:
             break
-    return b
+    return np.array(b)
 
 
 class _Sums:
@@ -307,5 +313,5 @@ def penalised_regression(
         for feature, c in zip(features, coef):
             table.append((name, feature, float(c), alpha, float(ratio), int((np.abs(coef) > 1e-8).sum()), float(r2), float(np.mean(scores))))
     return df.sparkSession.createDataFrame(
-        table, "model string, feature string, coef double, alpha double, l1_ratio double, n_nonzero int, in_sample_r2 double, cv_r2_mean double"
+        _plain(table), "model string, feature string, coef double, alpha double, l1_ratio double, n_nonzero int, in_sample_r2 double, cv_r2_mean double"
     )
