@@ -43,6 +43,8 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "sore loser a
 #: At most about so many labelled rows are used for fitting.
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
+#: Log likelihood ratio that an entry needs; about the log of the number of candidates.
+EVIDENCE = 9.0
 PREFIXES = range(3, 9)
 
 
@@ -159,7 +161,7 @@ def _partial_counts(batches):
         )
 
 
-def _lexicon(sample: DataFrame, min_toxic: int, min_ratio: float, size: int) -> dict[str, float]:
+def _lexicon(sample: DataFrame, evidence: float, min_ratio: float, size: int) -> dict[str, float]:
     base = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = base.get(1, 0), base.get(0, 0)
     if not n_toxic or not n_clean:
@@ -167,11 +169,14 @@ def _lexicon(sample: DataFrame, min_toxic: int, min_ratio: float, size: int) ->
     counts = sample.select("text", "toxic").mapInArrow(_partial_counts, "entry string, t long, c long")
     counts = counts.groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
+    # how far the share of toxic texts with the entry lies above that of all texts, as a log likelihood ratio
+    base_share, n, share = n_toxic / (n_toxic + n_clean), F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c"))
+    clean_part = F.when(F.col("c") > 0, (1 - share) * F.log((1 - share) / (1 - base_share))).otherwise(0.0)
     # a bounded list: the strongest entries by weight, then by support
     rows = (
-        counts.filter(F.col("t") >= min_toxic)
+        counts.filter("t > 0")
         .withColumn("w", weight)
-        .filter(F.col("w") >= math.log(min_ratio))
+        .filter((F.col("w") >= math.log(min_ratio)) & (n * (share * F.log(share / base_share) + clean_part) >= evidence))
         .orderBy(F.desc("w"), F.desc("t"), "entry")
         .limit(size)
         .collect()
@@ -204,7 +209,7 @@ def _hits_udf(model: ToxicityModel):
     return run
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS, min_toxic: int = 4, min_ratio: float = 12.0, size: int = 4000, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:
+def fit(labelled: DataFrame, rows: int = FIT_ROWS, evidence: float = EVIDENCE, min_ratio: float = 12.0, size: int = 4000, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:
     """Fit from a frame with ``doc_id, text, toxic``; rows without a label are ignored."""
     use = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
     seen = use.agg(F.count("*").alias("n"), F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("share")).first()
@@ -214,7 +219,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, min_toxic: int = 4, min_ratio
     keep = min(1.0, rows / seen["n"])
     sample = use.filter(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))) < int(keep * 2**32) + 1)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    weights = _lexicon(sample.filter(in_fit_half(key, 0)), min_toxic, min_ratio, size)
+    weights = _lexicon(sample.filter(in_fit_half(key, 0)), evidence, min_ratio, size)
     model = ToxicityModel(weights, (0.0, 0.0, 0.0), exceptions)
     half = sample.filter(in_fit_half(key, 1)).select(_hits_udf(model)("text").alias("h"), "toxic")
     points = half.select("h.total", "h.words", "toxic").toPandas()  # at most half of ``rows`` small rows
@@ -222,7 +227,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, min_toxic: int = 4, min_ratio
         return ToxicityModel(weights, (math.log((seen["share"] + 1e-9) / (1 - seen["share"] + 1e-9)), 0.0, 0.0), exceptions)
     x = np.stack([_features(a, b) for a, b in zip(points["total"], points["words"])])
     curve = _curve(x, points["toxic"].to_numpy(float))
-    return ToxicityModel(_lexicon(sample, min_toxic, min_ratio, size), curve, exceptions)
+    return ToxicityModel(_lexicon(sample, evidence, min_ratio, size), curve, exceptions)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
