@@ -205,6 +205,7 @@ def recover_passages(docs: DataFrame, passages: DataFrame, mode: str = "exact",
     Exact mode is complete for passages of at least three characters. The other modes look at
     documents that share a part of the fingerprints of the passage in the matching form.
     """
+    passages = passages.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
     if mode == "exact":
         pairs = passage_candidates(docs, passages, **options)
     else:

@@ -125,15 +125,15 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     ).drop("_df")
 
 
-def pairwise_mann_whitney(df: DataFrame, group: str, value: str, levels: list) -> DataFrame:
+def pairwise_mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     """All pairs of groups with Benjamini-Hochberg adjusted p-values.
 
-    Each row joins the comparisons of its own group; groups are few (clusters or labels).
+    The pairs are formed from the distinct groups on the cluster, and each row joins those of its group.
     """
-    levels = sorted(levels)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(levels) for b in levels[i + 1 :]])
-    mine = F.filter(pairs, lambda p: (p["a"] == F.col(group)) | (p["b"] == F.col(group)))
-    rows = df.select(group, value, F.inline(mine))
+    levels = df.filter(F.col(group).isNotNull()).select(F.col(group).alias("a")).distinct()
+    pairs = levels.join(levels.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
+    mine = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_own"))
+    rows = df.join(mine, F.col(group) == F.col("_own")).select(group, value, "a", "b")
     tests = mann_whitney(rows, ["a", "b"], value, F.col(group) == F.col("a"))
     tagged = tests.withColumns({"_all": F.lit(0), "_tie": F.concat_ws("|", "a", "b")})
     return benjamini_hochberg(tagged, ["_all"], "p", "p_bh", tie="_tie").select("a", "b", "U", "p", "p_bh")

@@ -13,7 +13,6 @@ COUNTS = ["n_units", "n_correct", "tp", "fp", "fn"]
 RESAMPLES = 10_000
 SEED = 12345
 CONFIDENCE = 0.95
-MAX_INDEXED = 200_000
 # Distribution function of the Poisson(1) law at 0, 1, 2, ...
 POISSON_CDF = [
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
@@ -46,20 +45,18 @@ def _sums(weight: Column | None = None) -> list[Column]:
 
 
 def resampled_sums(
-    paired: DataFrame, family: list[str], n: int = RESAMPLES, seed: int = SEED, salt: list[str] = (), method: str = "auto"
+    paired: DataFrame, family: list[str], n: int = RESAMPLES, seed: int = SEED, salt: list[str] = (), method: str = "multinomial"
 ) -> DataFrame:
     """Count sums of ``n`` resamples of the reviews of each family: family, b, a_*, b_*.
 
     ``multinomial`` draws R reviews with replacement: slot hashes point at review numbers and an
     equi-join fetches the counts. ``poisson`` gives every review an independent Poisson(1) weight
     per resample, the usual form for data too large to index: no join, no numbering, and sums
-    combine before the shuffle. ``auto`` takes the first up to ``MAX_INDEXED`` reviews per family.
+    combine before the shuffle. The method does not depend on the size of the data.
     Draws depend on seed, salt, resample and slot (or review), so equal families share draws.
     """
-    if method == "auto":
+    if method == "multinomial":
         paired = materialize(paired)
-        biggest = paired.groupBy(*family).count().agg(F.max("count")).first()[0] or 0
-        method = "multinomial" if biggest <= MAX_INDEXED else "poisson"
     seq = F.sequence(F.lit(0), F.lit(n - 1))
     if method == "poisson":
         rows = paired.select("*", F.explode(seq).alias("b"))
@@ -124,7 +121,7 @@ def paired_bootstrap(
     seed: int = SEED,
     salt: list[str] = (),
     confidence: float = CONFIDENCE,
-    method: str = "auto",
+    method: str = "multinomial",
 ) -> DataFrame:
     """One row per family: both values, difference, interval and p-value."""
     sums = resampled_sums(paired, family, n, seed, salt, method)
@@ -143,7 +140,7 @@ def bootstrap_contrast(
     n: int = RESAMPLES,
     seed: int = SEED,
     confidence: float = CONFIDENCE,
-    method: str = "auto",
+    method: str = "multinomial",
 ) -> DataFrame:
     """Difference of two differences, e.g. between datasets, with independent draws in each."""
     family = [split, *by]

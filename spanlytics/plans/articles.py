@@ -49,8 +49,10 @@ def _paragraphs(spark, sf):
         .when(head % 7 == 2, F.concat(F.lit("Thank you for submitting "), F.col("body")))
         .otherwise(F.col("body"))
     )
+    letter = lambda i: (stable_hash(F.lit("ty"), "article_id", i) % 5).isin(0, 3)
+    letters = F.size(F.filter(F.sequence(F.lit(0).cast("long"), F.col("sub_idx").cast("long")), letter))
     return rows.select(
-        "article_id", "sub_idx", F.element_at(F.array(*[F.lit(t) for t in TYPES]), (kind + 1).cast("int")).alias("type"),
+        "article_id", "sub_idx", letters.alias("letters"), F.element_at(F.array(*[F.lit(t) for t in TYPES]), (kind + 1).cast("int")).alias("type"),
         F.concat(F.lit("S"), F.col("sub_idx").cast("string")).alias("sub_id"), "para_idx", text.alias("text"),
     )
 
@@ -284,8 +286,7 @@ def kruskal_groups(spark, sf):
 )
 def pairwise_mwu(spark, sf):
     e = D.table(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"))
-    levels = [r[0] for r in e.select("label").distinct().limit(200).collect()]
-    return rounded(RK.pairwise_mann_whitney(e, "label", "x", levels))
+    return rounded(RK.pairwise_mann_whitney(e, "label", "x"))
 
 
 @query("kmeans_profiles")
