@@ -1,13 +1,18 @@
-"""Substring dedup over sliding runs of sentences.
-
-From every sentence the shortest run of sentences with at least ``MIN_WORDS`` words starts, and to every
-sentence such a run ends; so a repeated passage is covered up to its last sentence. Runs are compared
-by a 128-bit hash of their lower-case words over the whole corpus. The first place of a run (smallest
-document id, then place in the text) stays; a sentence that any later place covers is removed.
+"""Substring dedup over sliding runs of pieces.
+
+A text is cut into pieces at the ends of sentences and before words whose hash is the smallest of any
+``WINDOW`` neighbouring words. From every piece the shortest run of pieces with at least ``MIN_WORDS``
+words starts, and to every piece such a run ends. Cuts depend on the words nearby only, so wherever a
+repeated passage starts or ends: its first window has a cut at word WINDOW - 1 at the latest, the run
+from there ends within MIN_WORDS + WINDOW - 1 words, and all cuts up to WINDOW words before the end of
+the passage are its own. A passage of MIN_WORDS + 3 * WINDOW - 2 = 50 words that is repeated with its
+punctuation and line breaks thus always holds a common run. Runs are compared by a 128-bit hash of their
+lower-case words over the whole corpus. The first place of a run (smallest document id, then place in
+the text) stays; a piece that any later place covers is removed.
 
 Counts and first places combine before the shuffle, so a passage that very many documents share is no
 hot key there; the join that brings the first places back is left to adaptive skew splitting. Only runs
-that repeat come back, merged to ranges of sentences for each document.
+that repeat come back, merged to ranges of pieces for each document.
 
 Defined results: a null text stays null and an empty one empty; rows with the same id count as one
 document and are cut alike; a null id sorts last and rows without an id count as one document; an empty
@@ -26,32 +31,72 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanlytics.llm.common import BROADCAST_BYTES, fresh, query, read, written
 
 MIN_WORDS = 25
-_END = re.compile(r"[.!?]+[ \t]+|\n+")
+WINDOW = 9
+_END = re.compile(rb"[.!?]+[ \t]+|\n+")
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\f\v"))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = "doc long, first int, last int, again boolean, h1 long, h2 long"
 
 
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word in lower case."""
+    size = ends - starts
+    at = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(size.max()), _BASE))
+        first = np.cumsum(size) - size
+        h = np.add.reduceat((_LOWER[raw[at]] + np.uint64(1)) * powers[at - np.repeat(starts, size)], first)
+        for shift, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h
+
+
+def _cuts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of a text that is not empty start, with its end, and where its words start."""
+    raw = np.frombuffer(text, np.uint8)
+    word = np.concatenate([[False], ~_BLANK[raw], [False]])
+    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(~word[1:] & word[:-1])
+    closed = np.array([m.end() for m in _END.finditer(text)], np.int64)
+    chosen = np.zeros(len(starts), bool)
+    if len(starts) >= WINDOW:
+        near = np.lib.stride_tricks.sliding_window_view(_hashes(raw, starts, ends), WINDOW)
+        chosen[np.arange(len(near)) + WINDOW - 1 - near[:, ::-1].argmin(axis=1)] = True
+        # no second cut where a sentence ends between two words, none before the first word
+        chosen[1:] &= np.searchsorted(closed, starts[1:], side="right") == np.searchsorted(closed, ends[:-1], side="right")
+        chosen[0] = False
+    return np.unique(np.concatenate([[0], closed, starts[chosen], [len(text)]])), starts
+
+
 def sentences_of(text: str | None) -> list[str]:
     """Pieces of the text, each with what separates it from the next; joined they give the text."""
     if not text:
         return []
-    ends = [m.end() for m in _END.finditer(text)]
-    cuts = [0, *ends, len(text)] if not ends or ends[-1] < len(text) else [0, *ends]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+    raw = text.encode("utf-8", "surrogatepass")
+    cuts = _cuts(raw)[0].tolist()
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(cuts, cuts[1:])]
 
 
 def runs_of(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """``first, last, hash`` of the runs of a text; sentences are numbered from 0."""
-    keys = [s.encode("utf-8", "surrogatepass").lower().split() for s in sentences_of(text)]
-    upto = np.cumsum([0, *map(len, keys)])
-    n = len(keys)
-    if not n or upto[-1] < min_words:
+    """``first, last, hash`` of the runs of a text; pieces are numbered from 0."""
+    if not text:
+        return []
+    raw = text.encode("utf-8", "surrogatepass")
+    cuts, words = _cuts(raw)
+    upto = np.searchsorted(words, cuts)  # words before each cut
+    n = len(cuts) - 1
+    if upto[-1] < min_words:
         return []
     starts = np.arange(n)
     last = np.searchsorted(upto, upto[:-1] + min_words) - 1  # shortest run from each start
     first = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1  # shortest run to each end
     spans = {(a, b) for a, b in zip(starts.tolist(), last.tolist()) if b < n} | {(a, b) for a, b in zip(first.tolist(), starts.tolist()) if a >= 0}
-    joined = [b" ".join(k) for k in keys]
-    return [(a, b, xxhash.xxh3_128_intdigest(b" ".join([j for j in joined[a : b + 1] if j]))) for a, b in sorted(spans) if joined[a] and joined[b]]
+    lower = raw.lower().split()
+    place = np.cumsum([0, *(len(w) + 1 for w in lower)])[upto].tolist()  # of each cut among the joined words
+    joined = b" ".join(lower)
+    held = (np.diff(upto) > 0).tolist()
+    return [(a, b, xxhash.xxh3_128_intdigest(joined[place[a] : place[b + 1] - 1])) for a, b in sorted(spans) if held[a] and held[b]]
 
 
 def _all_runs(min_words: int):
@@ -84,7 +129,7 @@ _NO_ID = (1 << 63) - 1
 
 
 def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc, ranges``: for each document the ranges of sentences that repeat an earlier place."""
+    """``doc, ranges``: for each document the ranges of pieces that repeat an earlier place."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     runs = base.mapInArrow(_all_runs(min_words), _RUNS)
     seen = runs.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h1", "h2", "low")
@@ -101,6 +146,7 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int
     return ranges.select("doc", F.aggregate("spans", empty, merge).alias("ranges"))
 
 
+_CLOSED = re.compile(r"(?:[.!?][ \t]+|\n)\Z")
 _CUT = pa.struct([("text", pa.string()), ("sentences", pa.int64()), ("removed", pa.int64())])
 
 
@@ -112,14 +158,16 @@ def _cut_udf():
             parts = sentences_of(t)
             gone = {i for s in spans or [] for i in range(s["first"], s["last"] + 1)}
             kept = "".join([p for i, p in enumerate(parts) if i not in gone]) if gone else t
-            out.append({"text": kept, "sentences": len(parts), "removed": len(gone)})
+            # pieces up to the end of a sentence are one sentence
+            own = np.cumsum([0, *(bool(_CLOSED.search(p)) for p in parts[:-1])]).tolist() if parts else []
+            out.append({"text": kept, "sentences": own[-1] + 1 if parts else 0, "removed": len({own[i] for i in gone})})
         return pa.array(out, _CUT)
 
     return run
 
 
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
-    """``docs`` without the sentences of repeated spans; ``counts`` names columns for sentences and removals."""
+    """``docs`` without the pieces of repeated spans; ``counts`` names columns for sentences and those cut, whole or in part."""
     own_id, own_ranges, cut = fresh(docs, "range_doc", "ranges", "cut")
     ranges = written(repeated_ranges(docs, id_col, text_col, min_words), "ranges").select(F.col("doc").alias(own_id), F.col("ranges").alias(own_ranges))
     size = ranges.agg(F.coalesce(F.sum(F.size(own_ranges) * 16 + 64), F.lit(0))).first()[0]
@@ -133,7 +181,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences and removed sentences of every document, and what is left of its text."""
+    """Sentences and cut sentences of every document, and what is left of its text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_repeated_spans(docs, counts=("n_sentences", "n_removed"))
     return out.select("doc_id", "n_sentences", "n_removed", F.length("text").alias("chars_kept"), F.md5("text").alias("kept_md5"))

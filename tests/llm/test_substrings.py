@@ -74,3 +74,24 @@ def test_repeated_rows_names_and_empty_table(make_docs):
     assert out.columns == docs.columns + ["n", "gone"] and [r["text"] for r in out.collect()] == [text, text]
     assert S.drop_repeated_spans(make_docs([])).count() == 0
     assert "".join(S.sentences_of("a. b!  c\n\nd? e")) == "a. b!  c\n\nd? e"
+
+
+def test_passages_in_mid_sentence_are_cut(make_docs):
+    """A passage of 51 words stands inside other sentences; nothing else repeats."""
+    rng = random.Random(8)
+    rows, passages = [], []
+    for k in range(60):
+        style = k % 3  # no end of a sentence, one long sentence between two ends, many short ones
+        words = [f"p{k}x{i}" for i in range(51)]
+        for i in {0: [], 1: [3, 47], 2: range(2, 50, 4)}[style]:
+            words[i] += "."
+        passages.append(" ".join(words))
+        for copy in range(2):
+            own = [f"d{k}c{copy}y{i}" for i in range(60 + rng.randrange(20))]
+            rows.append((2 * k + copy, " ".join(own[:30]) + " " + passages[-1] + " " + " ".join(own[30:])))
+    got = {r["doc_id"]: r["text"] for r in S.drop_repeated_spans(make_docs(rows)).collect()}
+    for k, passage in enumerate(passages):
+        assert got[2 * k] == rows[2 * k][1]
+        left = got[2 * k + 1].split()
+        assert len(set(passage.split()) & set(left)) <= 51 - S.MIN_WORDS, k
+        assert [w for w in left if w[0] == "d"] == [w for w in rows[2 * k + 1][1].split() if w[0] == "d"]
