@@ -13,7 +13,8 @@ calls lies on or behind a cycle, and gets the level null and the problem ``cycle
 Arguments are checked against the schema of their tool, and every event is written as canonical JSON
 (sorted keys, no blanks, UTF-8, numbers as JavaScript would print integers). Each event is a row of its
 own, ordered by (level, turn, kind, call_id) within its conversation, so a very long conversation is
-never gathered in one task.
+never gathered in one task. Messages (turns of any role with their whole text) have no level and take
+their place by turn.
 
 Defined results: null arguments are malformed; a null identifier links with nothing; a null content is an
 empty string; repeated rows are duplicates; orphan results have level null; empty tables give empty
@@ -83,6 +84,9 @@ def checked_arguments(name: str | None, arguments: str | None, schemas: dict) ->
 
 
 def event_json(kind: str, call_id: str | None, name: str | None, arguments: str | None, content: str | None) -> str:
+    """A message has its role as ``name``."""
+    if kind == "message":
+        return canonical({"role": name, "content": content or ""})
     if kind == "call":
         held = json.loads(arguments) if arguments is not None else None
         return canonical({"role": "assistant", "tool_call": {"id": call_id, "name": name, "arguments": held}})
@@ -173,6 +177,13 @@ def linked_events(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS)
     return rows.select("conv_id", "kind", "turn", "call_id", "level", "status", "problems", "json")
 
 
+def message_events(turns: DataFrame) -> DataFrame:
+    """Every row of ``conv_id, turn, role, text`` as an event like those of ``linked_events``, with its whole text."""
+    none = F.lit(None).cast("string")
+    json = _json_udf()(F.lit("message"), none, F.col("role"), none, F.col("text"))
+    return turns.select("conv_id", F.lit("message").alias("kind"), "turn", none.alias("call_id"), F.lit(None).cast("long").alias("level"), F.lit("message").alias("status"), F.array().cast("array<string>").alias("problems"), json.alias("json"))
+
+
 # ------------------------------------------------------------------ calls and results in plain turns
 
 
@@ -181,15 +192,14 @@ def _call_id(conv: Column, turn: Column) -> Column:
 
 
 def derived_calls(turns: DataFrame) -> DataFrame:
-    """Assistant turns read as calls: the first words of a turn are the arguments; some have faults."""
+    """Assistant turns read as calls: the whole text of a turn is in the arguments; some have faults."""
     t = turns.filter("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     h = stable_hash(F.lit("tool"), "conv_id", "turn")
     words = F.filter(F.split("text", r"\s+"), lambda x: F.length(x) > 0)
-    t = t.select("conv_id", "turn", h.alias("h"), words.alias("w"))
-    w = F.col("w")
-    search = F.to_json(F.struct((F.col("h") % 20).alias("limit"), F.array_join(F.slice(w, 1, 6), " ").alias("query")))
-    convert = F.to_json(F.struct(F.size(w).cast("double").alias("value"), F.get(w, F.lit(0)).alias("unit"), (F.col("h") % 2 == 0).alias("exact")))
-    lookup = F.to_json(F.struct(F.slice(w, 1, 3).alias("keys"), F.struct((F.col("h") % 7).alias("depth")).alias("options")))
+    t = t.select("conv_id", "turn", h.alias("h"), words.alias("w"), "text")
+    search = F.to_json(F.struct((F.col("h") % 20).alias("limit"), F.col("text").alias("query")))
+    convert = F.to_json(F.struct(F.size("w").cast("double").alias("value"), F.col("text").alias("unit"), (F.col("h") % 2 == 0).alias("exact")))
+    lookup = F.to_json(F.struct(F.split("text", " ").alias("keys"), F.struct((F.col("h") % 7).alias("depth")).alias("options")))
     k, fault = F.col("h") % 3, F.col("h") % 31
     arguments = F.when(k == 0, search).when(k == 1, convert).otherwise(lookup)
     arguments = F.when(fault == 1, F.substring(arguments, 1, 9)).when(fault == 2, F.lit('{"query":7,"more":null}')).when(fault == 3, F.lit(None)).otherwise(arguments)
@@ -209,7 +219,7 @@ def derived_results(turns: DataFrame) -> DataFrame:
 
 @query("op6_chat_tool_links")
 def op6_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every call and result of the conversations, linked, ordered, checked and serialised."""
+    """Every turn of the conversations, and every call and result linked, ordered, checked and serialised."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    out = linked_events(derived_calls(turns), derived_results(turns))
+    out = message_events(turns).unionByName(linked_events(derived_calls(turns), derived_results(turns)))
     return out.withColumn("problems", F.array_join("problems", ";"))

@@ -54,3 +54,25 @@ def test_linking(spark):
 
 def test_empty_tables(spark):
     assert C.linked_events(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)).count() == 0
+
+
+def test_every_turn_is_emitted_whole(spark, table_dir):
+    text = lambda k: f"  turn {k}\n" + " ".join(f"w{k}_{i}" for i in range(40)) + ' "end" '
+    rows = [(c, t, ("system", "user", "assistant")[t if t < 2 else 2 - t % 2], text(10 * c + t)) for c in range(1, 40) for t in range(6)]
+    rows += [(90, 0, "user", None), (90, 1, None, "no role"), (90, 1, None, "no role")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = C.op6_chat_tool_links(spark, table_dir(conversations=frame)).collect()
+    said = [(r["conv_id"], r["turn"], json.loads(r["json"])) for r in got if r["kind"] == "message"]
+    assert sorted((c, t, str(m["role"]), m["content"]) for c, t, m in said) == sorted((c, t, str(r), x or "") for c, t, r, x in rows)
+    seen = set()
+    for r in C.derived_calls(frame).collect():
+        try:
+            arguments = json.loads(r["arguments"])
+        except (TypeError, ValueError):
+            continue
+        if "more" in arguments:  # a dealt fault
+            continue
+        seen |= set(arguments)
+        held = arguments.get("query", arguments.get("unit", " ".join(arguments.get("keys", []))))
+        assert held == text(10 * r["conv_id"] + r["turn"])
+    assert {"query", "unit", "keys"} <= seen
