@@ -40,9 +40,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from spanlytics.llm.common import query, read, written
 
 #: Tokens of A after which a unit ends.
-UNIT_TOKENS = 1_000_000
-#: Distinct chunks whose tokens a worker keeps for the next unit, and their longest length.
-KEPT_CHUNKS, KEPT_CHARS = 200_000, 48
+UNIT_TOKENS = 2_000_000
+#: Chunks that are encoded in one string.
+TOGETHER = 500
 #: Groups with more links than this are counted by distinct tokens instead of link by link.
 WIDE = 64
 
@@ -60,10 +60,9 @@ class TokenizerPair:
     def __init__(self, byte_level: str, pieces: str):
         self.byte_level, self.pieces = byte_level, pieces
         self._open: tuple | None = None
-        self._kept: dict[str, tuple] = {}
 
     def __getstate__(self):
-        return {"byte_level": self.byte_level, "pieces": self.pieces, "_open": None, "_kept": {}}
+        return {"byte_level": self.byte_level, "pieces": self.pieces, "_open": None}
 
     def _opened(self):
         if self._open is None:
@@ -88,26 +87,35 @@ class TokenizerPair:
         self._opened()
         return [text] if self.whole else _BREAK.split(text)
 
-    def encode(self, chunks: list[str]) -> list[tuple]:
-        """For every chunk: ids of A, ids of B, whether both give back a space and the chunk."""
+    def encode(self, chunks: list[str]) -> tuple[_Side, _Side, np.ndarray]:
+        """Ids of A and of B of every chunk behind one space, and whether both give these bytes back."""
+        # a chunk that ends with white space ends its text, and stays alone
+        joined = [k for k, c in enumerate(chunks) if c and not c[-1].isspace() and not self.whole]
+        alone = sorted(set(range(len(chunks))) - set(joined))
+        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)] + [[k] for k in alone]
+        side_a, side_b, fine, again = _Side(len(chunks)), _Side(len(chunks)), np.ones(len(chunks), bool), []
+        for own, a, b, same in self._encoded(groups, chunks):
+            if same and side_a.put(own, a[0], a[1], chunks) and side_b.put(own, b[0], b[1], chunks):
+                continue
+            again += [[k] for k in own]
+        # in a group that was not given back every chunk is looked at by itself
+        for own, a, b, same in self._encoded(again, chunks):
+            side_a.put_one(own[0], a[0])
+            side_b.put_one(own[0], b[0])
+            fine[own[0]] = same
+        return side_a.done(), side_b.done(), fine
+
+    def _encoded(self, groups: list[list[int]], chunks: list[str]):
         a, b, bytes_a, bytes_b = self._opened()
-        new = [c for c in chunks if c not in self._kept]
-        first = [e.ids for e in a.encode_batch([" " + c for c in new], add_special_tokens=False)]
-        # an empty chunk is the last space of a text, to which B adds nothing by itself
-        second = b.encode([c or " " for c in new], num_threads=1)
-        fresh = {}
-        for c, x, y in zip(new, first, second):
-            if not c:
-                y = [b.piece_to_id("▁")]
-            want = b" " + c.encode("utf-8", "surrogatepass")
-            same = b"".join([bytes_a[i] for i in x]) == want == b"".join([bytes_b[i] for i in y])
-            fresh[c] = (x, y, same)
-        found = [fresh[c] if c in fresh else self._kept[c] for c in chunks]
-        if len(self._kept) + len(fresh) > KEPT_CHUNKS:
-            self._kept = {}
-        room = KEPT_CHUNKS - len(self._kept)
-        self._kept.update([(c, v) for c, v in fresh.items() if len(c) <= KEPT_CHARS][:room])
-        return found
+        texts = ["".join([" " + chunks[k] for k in own]) for own in groups]
+        first = a.encode_batch(texts, add_special_tokens=False)
+        # B puts the first space by itself, but not before nothing
+        second = b.encode([t[1:] for t in texts], num_threads=1)
+        for own, text, x, y in zip(groups, texts, first, second):
+            x, y = x.ids, y or [b.piece_to_id("▁")]
+            parts = [bytes_a[i] for i in x], [bytes_b[i] for i in y]
+            want = text.encode("utf-8", "surrogatepass")
+            yield own, (x, parts[0]), (y, parts[1]), b"".join(parts[0]) == want == b"".join(parts[1])
 
 
 def _bytes_of_a(tokenizer) -> list[bytes]:
@@ -179,10 +187,34 @@ def _unpacked(data: bytes) -> np.ndarray:
 class _Side:
     """Ids of the distinct chunks of one tokenizer, one after the other."""
 
-    def __init__(self, lists: list[list[int]]):
-        self.count = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.start = np.cumsum(self.count) - self.count
-        self.ids = np.fromiter((i for x in lists for i in x), np.int64, int(self.count.sum()))
+    def __init__(self, n: int):
+        self.count, self.start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def put(self, own: list[int], ids: list[int], parts: list[bytes], chunks: list[str]) -> bool:
+        """Ids of several chunks encoded together; false if a token crosses from one to the next."""
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        stops = np.cumsum([len(chunks[k].encode("utf-8", "surrogatepass")) + 1 for k in own])
+        at = np.searchsorted(ends, stops)
+        if not (ends[np.minimum(at, len(ends) - 1)] == stops).all():
+            return False
+        counts = np.diff(at, prepend=-1)
+        self.count[own], self.start[own] = counts, self.size + np.cumsum(counts) - counts
+        self._add(ids)
+        return True
+
+    def put_one(self, chunk: int, ids: list[int]) -> None:
+        self.count[chunk], self.start[chunk] = len(ids), self.size
+        self._add(ids)
+
+    def _add(self, ids: list[int]) -> None:
+        self.parts.append(np.array(ids, np.int64))
+        self.size += len(ids)
+
+    def done(self) -> _Side:
+        self.ids = np.concatenate(self.parts or [np.empty(0, np.int64)])
+        return self
 
     def of(self, chunks: np.ndarray) -> np.ndarray:
         return self.ids[_ranges(self.start[chunks], self.count[chunks])]
@@ -233,15 +265,13 @@ class _Unit:
     def take(self, row_id, text: str | None) -> None:
         number = self.chunks
         parts = self.pair.chunks_of(text) if text else []
-        self.rows.append((row_id, text, np.fromiter((number.setdefault(c, len(number)) for c in parts), np.int64, len(parts))))
+        self.rows.append((row_id, text, np.array([number.setdefault(c, len(number)) for c in parts], np.int64)))
         self.size += len(text or "") // 3 + 1
 
     def row(self, name: str, names: _Names) -> dict:
         """One row for the unit: figures and links of its documents, and its distinct pairs."""
         bytes_a, bytes_b = self.pair.token_bytes
-        found = self.pair.encode(list(self.chunks))
-        side_a, side_b = _Side([x for x, _, _ in found]), _Side([y for _, y, _ in found])
-        fine = np.array([s for _, _, s in found], bool)
+        side_a, side_b, fine = self.pair.encode(list(self.chunks))
         long_a, long_b = np.array(list(map(len, bytes_a))), np.array(list(map(len, bytes_b)))
         n_a, n_b, n_groups, n_links, digests = [], [], [], [], []
         owner, keys, weights = [], [], []
@@ -271,7 +301,8 @@ class _Unit:
             n_a.append(len(a))
             n_b.append(len(b))
         empty = [np.empty(0, np.int64)]
-        pairs, number = np.unique(np.concatenate(keys or empty), return_inverse=True)
+        listed = pa.array(np.concatenate(keys or empty)).dictionary_encode()
+        pairs, number = listed.dictionary.to_numpy(), listed.indices.to_numpy().astype(np.int64)
         n = max(len(pairs), 1)
         held, place = np.unique(np.concatenate(owner or empty) * n + number, return_inverse=True)
         times = np.bincount(place, np.concatenate(weights or empty), len(held)).astype(np.int64)
