@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from spanlytics.functions.core import col
+from spanlytics.functions.core import col, let
 from spanlytics.functions.tokens import int_lists
 
 # Well-formed inline markup, zero-width characters, line breaks.
@@ -42,82 +42,160 @@ UNIFIED = {
 LEADING = r"^[\s\"'“”‘’(\[\-–—.,;:]+"
 TRAILING = r"[\s\"'“”‘’)\]\-–—]+$"
 
-MAPPED = StructType([StructField("text", StringType()), StructField("index", ArrayType(IntegerType()))])
+# A text of ``size`` characters with its index map in run-length form: from place ``at`` on, the source
+# position is ``source`` plus the distance from ``at``. A text that nothing changes needs one run.
+MAPPED = StructType(
+    [
+        StructField("text", StringType()),
+        StructField("size", IntegerType()),
+        StructField("at", ArrayType(IntegerType())),
+        StructField("source", ArrayType(IntegerType())),
+    ]
+)
 BOUNDS = StructType([StructField("s", ArrayType(IntegerType())), StructField("e", ArrayType(IntegerType()))])
 
 _TAG = re.compile(TAG)
-_CHARACTER = {}
-
-
-def _squeeze(pieces: list[tuple[str, int]], keep_breaks: bool) -> tuple[str, list[int]]:
-    """Join (character, source index) pairs, collapsing each whitespace run to one character."""
-    out, index, gap = [], [], None
-    for ch, i in pieces:
-        if ch.isspace():
-            broken = keep_breaks and ch in LINE_BREAKS
-            gap = (i, broken) if gap is None else (gap[0], gap[1] or broken)
-            continue
-        if gap is not None:
-            if out:
-                out.append("\n" if gap[1] else " ")
-                index.append(gap[0])
-            gap = None
-        out.append(ch)
-        index.append(i)
-    return "".join(out), index
-
-
-def _nfkc(ch: str) -> str:
-    known = _CHARACTER.get(ch)
-    if known is None:
-        known = _CHARACTER[ch] = unicodedata.normalize("NFKC", ch)
-    return known
-
-
-def normalize_with_map(text: str) -> tuple[str, list[int]]:
-    """NFKC, no zero-width characters, no tags, squeezed whitespace; with the source index map."""
-    hidden = set()
-    for m in _TAG.finditer(text):
-        hidden.update(range(*m.span()))
-    pieces = [
-        (c, i) for i, ch in enumerate(text) if i not in hidden and ch not in ZERO_WIDTH for c in _nfkc(ch)
-    ]
-    return _squeeze(pieces, keep_breaks=True)
-
-
-def match_form(text: str) -> tuple[str, list[int]]:
-    """Lower-cased form used for matching, with the source index map."""
-    pieces = [(c, i) for i, ch in enumerate(text) for c in unicodedata.normalize("NFKC", UNIFIED.get(ch, ch))]
-    squeezed, index = _squeeze(pieces, keep_breaks=False)
-    lowered, out = [], []
-    for ch, i in zip(squeezed, index):
-        low = ch.lower()
-        lowered.append(low)
-        out.extend([i] * len(low))
-    return "".join(lowered), out
-
-
-def _mapped_batch(texts: pa.Array, build) -> pa.Array:
-    rows = [build(t or "") for t in texts.to_pylist()]
+#: Characters that are normalised together; a longer text is a block of its own.
+BLOCK_CHARS = 1 << 18
+
+
+class _Becomes:
+    """What each code point turns into; asked once for every code point that is met."""
+
+    def __init__(self, change):
+        self.change = change
+        self.size = np.full(0x110000, 255, np.uint8)
+        self.first = np.zeros(0x110000, np.uint32)
+        self.more: dict[int, np.ndarray] = {}
+
+    def apply(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """New code points, and for each the place of its origin in ``codes``."""
+        for code in np.unique(codes[self.size[codes] == 255]).tolist():
+            out = np.array([ord(c) for c in self.change(chr(code))], np.uint32)
+            self.size[code], self.first[code] = len(out), out[0] if len(out) else 0
+            if len(out) > 1:
+                self.more[code] = out
+        n = self.size[codes]
+        if (n == 1).all():
+            return self.first[codes], np.arange(len(codes))
+        origin = np.repeat(np.arange(len(codes)), n)
+        new = self.first[codes][origin]
+        starts = np.cumsum(n, dtype=np.int64) - n
+        for code in np.unique(codes[n > 1]).tolist():
+            long = self.more[code]
+            new[starts[codes == code][:, None] + np.arange(len(long))] = long
+        return new, origin
+
+
+# 1 for white space, 2 for a line break; no code point above U+3000 is white space
+_BLANK = np.zeros(0x110000, np.uint8)
+for _c in map(chr, range(0x3001)):
+    if _c.isspace():
+        _BLANK[ord(_c)] = 2 if _c in LINE_BREAKS else 1
+
+_NORMAL = _Becomes(lambda c: "" if c in ZERO_WIDTH else unicodedata.normalize("NFKC", c))
+_MATCHING = _Becomes(lambda c: "".join(x.lower() for x in unicodedata.normalize("NFKC", UNIFIED.get(c, c))))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _squeezed(codes, row, source, keep_breaks: bool):
+    """Every run of white space becomes one character; those at the ends of a row go."""
+    blank = _BLANK[codes]
+    solid = np.flatnonzero(blank == 0)
+    if len(solid) == len(codes):
+        return codes, row, source
+    same = row[solid][1:] == row[solid][:-1]
+    gap = np.concatenate([[False], (np.diff(solid) > 1) & same])[: len(solid)]
+    ends = np.cumsum(1 + gap) - 1
+    out = [np.empty(int(ends[-1]) + 1 if len(ends) else 0, x.dtype) for x in (codes, row, source)]
+    for new, old in zip(out, (codes, row, source)):
+        new[ends] = old[solid]
+    first = solid[np.flatnonzero(gap) - 1] + 1  # of each run that stays
+    breaks = np.concatenate([[0], np.cumsum(blank == 2)])
+    broken = breaks[solid[gap]] > breaks[first]
+    out[0][ends[gap] - 1] = np.where(broken & keep_breaks, ord("\n"), ord(" "))
+    out[1][ends[gap] - 1], out[2][ends[gap] - 1] = row[first], source[first]
+    return tuple(out)
+
+
+def _mapped(texts: list[str], table: _Becomes, tags: bool, keep_breaks: bool) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """Changed text and runs of the index map of every text."""
+    parts = [_codes(t) for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    codes, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+    source = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if tags:
+        spans = [(o + m.start(), o + m.end()) for o, t in zip((np.cumsum(sizes) - sizes).tolist(), texts) if "<" in t for m in _TAG.finditer(t)]
+        if spans:
+            edge = np.zeros(len(codes) + 1, np.int64)
+            np.add.at(edge, [a for a, _ in spans], 1)
+            np.add.at(edge, [b for _, b in spans], -1)
+            shown = np.cumsum(edge[:-1]) == 0
+            codes, row, source = codes[shown], row[shown], source[shown]
+    codes, origin = table.apply(codes)
+    codes, row, source = _squeezed(codes, row[origin], source[origin], keep_breaks)
+    begins = np.searchsorted(row, np.arange(len(texts) + 1))
+    turn = np.ones(len(codes), bool)
+    turn[1:] = (np.diff(source) != 1) | (np.diff(row) != 0)
+    at = np.flatnonzero(turn)
+    runs = np.searchsorted(at, begins)
+    out = []
+    for k in range(len(texts)):
+        a, b, own = begins[k], begins[k + 1], at[runs[k] : runs[k + 1]]
+        out.append((codes[a:b].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), own - a, source[own]))
+    return out
+
+
+def _blocks(texts: list[str]):
+    block, size = [], 0
+    for t in texts:
+        if block and size + len(t) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append(t)
+        size += len(t)
+    if block:
+        yield block
+
+
+def normalize_with_map(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """NFKC, no zero-width characters, no tags, squeezed whitespace; with the runs of the source index map."""
+    return _mapped([text], _NORMAL, tags=True, keep_breaks=True)[0]
+
+
+def match_forms(texts: list[str]) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """Lower-cased forms used for matching, with the runs of the source index map."""
+    return [x for block in _blocks(texts) for x in _mapped(block, _MATCHING, tags=False, keep_breaks=False)]
+
+
+def _mapped_rows(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> pa.Array:
     return pa.StructArray.from_arrays(
-        [
-            pa.array([r[0] for r in rows], pa.string()),
-            int_lists([np.asarray(r[1], dtype=np.int32) for r in rows]),
-        ],
-        fields=[pa.field("text", pa.string()), pa.field("index", pa.list_(pa.int32()))],
+        [pa.array([r[0] for r in rows], pa.string()), pa.array([len(r[0]) for r in rows], pa.int32()), int_lists([r[1] for r in rows]), int_lists([r[2] for r in rows])],
+        fields=[pa.field("text", pa.string()), pa.field("size", pa.int32()), pa.field("at", pa.list_(pa.int32())), pa.field("source", pa.list_(pa.int32()))],
     )
 
 
 @F.arrow_udf(MAPPED)
 def normalized(text: pa.Array) -> pa.Array:
-    """``struct<text, index>``: cleaned text and, per character, its position in the source."""
-    return _mapped_batch(text, normalize_with_map)
+    """``struct<text, size, at, source>``: cleaned text and where its runs come from."""
+    blocks = _blocks([t or "" for t in text.to_pylist()])
+    return _mapped_rows([x for block in blocks for x in _mapped(block, _NORMAL, tags=True, keep_breaks=True)])
 
 
 @F.arrow_udf(MAPPED)
 def match_normalized(text: pa.Array) -> pa.Array:
-    """``struct<text, index>`` of the lower-cased matching form."""
-    return _mapped_batch(text, match_form)
+    """``struct<text, size, at, source>`` of the lower-cased matching form."""
+    return _mapped_rows(match_forms([t or "" for t in text.to_pylist()]))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def match_form_lists(texts: pa.Array) -> pa.Array:
+    """Matching forms of ``array<string>`` columns, without maps."""
+    forms = iter(match_forms([t or "" for t in texts.flatten().to_pylist()]))
+    return pa.array([None if r is None else [next(forms)[0] for _ in r] for r in texts.to_pylist()], pa.list_(pa.string()))
 
 
 def clean_text(text) -> Column:
@@ -127,23 +205,58 @@ def clean_text(text) -> Column:
     return F.regexp_replace(F.regexp_replace(lines, r"(?U)[^\S\n]+", " "), r"(?U)^\s+|\s+$", "")
 
 
-def to_source(index, start, end) -> Column:
+def count_below(values, limit, inclusive: bool = False) -> Column:
+    """How many entries of a sorted array lie below ``limit`` (or at it), by binary search."""
+
+    def halved(values, limit):
+        def step(s, _):
+            middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            value = F.get(values, middle)
+            below = value <= limit if inclusive else value < limit
+            return (
+                F.when(s["lo"] >= s["hi"], s)
+                .when(below, F.struct((middle + 1).alias("lo"), s["hi"].alias("hi")))
+                .otherwise(F.struct(s["lo"].alias("lo"), middle.alias("hi")))
+            )
+
+        steps = F.sequence(F.lit(0), F.floor(F.log2(F.size(values) + F.lit(1))).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi")), step, lambda s: s["lo"])
+
+    return let(F.struct(col(values).alias("v"), col(limit).cast("int").alias("x")), lambda s: halved(s["v"], s["x"]))
+
+
+def to_source(mapped, start, end) -> Column:
     """Map a span of the normalised text back to the source (clamped to the map)."""
-    index, start, end = col(index), col(start), col(end)
-    last = F.size(index) - 1
-    at = lambda i: F.element_at(index, F.least(F.greatest(i, F.lit(0)), last) + 1)
+    m, start, end = col(mapped), col(start).cast("int"), col(end).cast("int")
+    last = m["size"] - 1
+
+    def at(place):
+        place = F.least(F.greatest(place, F.lit(0)), last)
+        return let(place, lambda p: let(count_below(m["at"], p, inclusive=True) - 1, lambda k: F.get(m["source"], k) + p - F.get(m["at"], k)))
+
     left = at(start)
-    return F.when(
-        last >= 0, F.struct(left.alias("start"), F.when(end > start, at(end - 1) + 1).otherwise(left).alias("end"))
-    ).otherwise(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
+    mapped_span = F.struct(left.alias("start"), F.when(end > start, at(end - 1) + 1).otherwise(left).alias("end"))
+    return F.when(last >= 0, mapped_span).otherwise(F.struct(start.alias("start"), end.alias("end")))
+
+
+def place_in(mapped, position) -> Column:
+    """The first place of the normalised text whose source is at or behind ``position``."""
+    m = col(mapped)
+
+    def counted(x):
+        def within(k):
+            next_at = F.coalesce(F.get(m["at"], k), m["size"])
+            return F.when(k == 0, F.lit(0)).otherwise(F.least(next_at, F.get(m["at"], k - 1) + x - F.get(m["source"], k - 1)))
+
+        return let(count_below(m["source"], x), within)
+
+    return let(col(position).cast("int"), counted)
 
 
-def from_source(index, start, end) -> Column:
-    """Map a source span into the normalised text: index maps are sorted, so counting is enough."""
-    index, start, end = col(index), col(start), col(end)
-    ps = F.size(F.filter(index, lambda o: o < start))
-    pe = F.size(F.filter(index, lambda o: o < end))
-    return F.struct(ps.alias("start"), F.greatest(ps, pe).alias("end"))
+def from_source(mapped, start, end) -> Column:
+    """Map a source span into the normalised text."""
+    ps = place_in(mapped, start)
+    return let(F.struct(ps.alias("s"), place_in(mapped, end).alias("e")), lambda p: F.struct(p["s"].alias("start"), F.greatest(p["s"], p["e"]).alias("end")))
 
 
 # A boundary follows terminal punctuation with optional closers when the next sentence starts with a

@@ -8,17 +8,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from spanlytics.functions.approx import SpanSet, candidate_regions, codes, window_check
 from spanlytics.functions.core import slice_text
 from spanlytics.functions.fingerprints import Q, W, fingerprint_udf
-from spanlytics.functions.locate import SIMILARITY, located_udf
-from spanlytics.functions.text import clean_text
+from spanlytics.functions.labels import LABELS
+from spanlytics.functions.locate import SIMILARITY, Source, folded, located, nearest_windows, region_texts, stripped
+from spanlytics.functions.text import match_form_lists, match_normalized, strip_edges
 from spanlytics.functions.tokens import token_bounds, token_offsets
-from spanlytics.session import materialize
+from spanlytics.session import materialize, task_count
 
 CHUNK = 256
+#: Spans of a document that are met at once where some need a fuzzy search.
+FUZZY_CHUNK = 32
+#: Characters of passages that are sent to every task at once.
+BLOCK_CHARS = 1 << 22
 BUCKET = 512
 
 _INDEX = ArrayType(
@@ -120,31 +126,72 @@ def snap_to_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     ).select(*spans.columns)
 
 
+def searchable(docs: DataFrame, mode: str = "full", tokens: bool = True) -> DataFrame:
+    """The source texts with what the search needs, made once per document: matching form with its index map, tokens.
+
+    The texts are dealt by the key of the join that follows, which needs that exchange anyway.
+    """
+    d = docs.select("review_id", F.coalesce("text", F.lit("")).alias("source")).repartition(task_count(docs.sparkSession), "review_id")
+    if mode != "exact":
+        d = d.withColumn("form", match_normalized("source"))
+    return d.withColumn("tok", token_offsets("source")) if tokens else d
+
+
+def _forms(form) -> Column:
+    return F.array(form, F.trim(strip_edges(form)))
+
+
+def _with_windows(rows: DataFrame, mode: str, threshold: float) -> DataFrame:
+    """Rows of ``searchable`` texts and ``items``, ready for ``located``: mirrors, and windows of what is found in no other way."""
+    rows = rows.withColumn("mirror", F.reverse("source"))
+    if mode == "exact":
+        return rows
+    form = F.col("form")["text"]
+    rows = rows.withColumn("form_mirror", F.reverse(form))
+    if mode != "full":
+        return rows
+
+    def open_form(a):
+        found = F.contains("source", a["needle"]) | F.contains(form, a["forms"][0]) | ((a["forms"][1] != "") & F.contains(form, a["forms"][1]))
+        return F.when((a["needle"] != "") & ~found, a["forms"][0])
+
+    rows = rows.withColumn("regions", candidate_regions(threshold)(form, F.transform("items", open_form)))
+    wanted = F.transform("regions", lambda r: F.get(F.col("items"), r["i"])["forms"][0])
+    rows = rows.withColumn("checked", window_check(threshold)(region_texts("form", "regions"), wanted))
+    near = F.transform("items", lambda a, i: nearest_windows("form", "checked", "regions", i))
+    joined = F.zip_with("items", near, lambda a, w: a.withField("similarity", w["similarity"]).withField("windows", w["windows"]))
+    return rows.withColumn("items", joined).drop("regions", "checked")
+
+
 def locate_spans(
-    docs: DataFrame, spans: DataFrame, mode: str = "full", threshold: float = SIMILARITY, chunk: int = CHUNK
+    docs: DataFrame,
+    spans: DataFrame,
+    mode: str = "full",
+    threshold: float = SIMILARITY,
+    chunk: int = CHUNK,
+    tokens: bool = True,
+    counts: bool = True,
+    number: str = "span_id",
+    chunk_of: Column | None = None,
 ) -> DataFrame:
     """Locate independent spans in their own document.
 
     ``spans``: review_id, span_id (dense number within a review), text, hint. The dense number
     decides the chunk, so even a review with very many spans is split evenly.
     """
-    packed = (
-        spans.groupBy("review_id", F.expr(f"cast(span_id div {chunk} as bigint)").alias("chunk"))
-        .agg(F.collect_list(F.struct("span_id", "text", F.col("hint").cast("int").alias("hint"))).alias("items"))
-        .join(docs.select("review_id", F.col("text").alias("source")), "review_id")
-    )
-    hits = packed.select(
-        "review_id", "items", located_udf(mode, threshold)("source", "items").alias("found")
-    ).select("review_id", F.inline(F.arrays_zip("items", "found")))
-    return hits.select("review_id", "items.span_id", "items.text", "items.hint", "found.*")
-
-
-def locate_in_stages(docs: DataFrame, spans: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Exact and normalised matching for all spans; fuzzy only for what is left, in small chunks."""
-    first = materialize(locate_spans(docs, spans, "normalized"))
-    rest = first.filter(F.col("status") == "rejected").select("review_id", "span_id", "text", "hint")
-    slow = locate_spans(docs, rest, "full", threshold, chunk=8)
-    return first.filter(F.col("status") != "rejected").unionByName(slow)
+    part = chunk_of if chunk_of is not None else F.expr(f"cast({number} div {chunk if mode != 'full' else FUZZY_CHUNK} as bigint)")
+    ready = spans.withColumn("needle", stripped(F.coalesce("text", F.lit(""))))
+    fields = ["needle", F.col("hint").cast("int").alias("hint")]
+    if mode != "exact":
+        ready = ready.withColumn("_form", match_normalized("needle")["text"])
+        fields.append(_forms(F.col("_form")).alias("forms"))
+    packed = ready.groupBy("review_id", part.alias("_chunk")).agg(F.collect_list(F.struct(number, "text", *fields)).alias("items"))
+    # chunks of one review are searched in different tasks
+    rows = packed.join(searchable(docs, mode, tokens), "review_id").repartition(task_count(docs.sparkSession), "review_id", "_chunk")
+    rows = _with_windows(rows, mode, threshold)
+    source = Source(tokens="tok" if tokens else None)
+    hits = rows.select("review_id", F.inline(F.transform("items", lambda a: F.struct(a.alias("a"), located(a, source, mode=mode, counts=counts).alias("found")))))
+    return hits.select("review_id", f"a.{number}", "a.text", "a.hint", "found.*")
 
 
 def align_responses(
@@ -153,73 +200,96 @@ def align_responses(
     mode: str = "full",
     threshold: float = SIMILARITY,
     check_labels: bool = True,
+    allowed=tuple(LABELS),
+    tokens: bool = True,
+    counts: bool = True,
 ) -> DataFrame:
     """Locate the ordered annotations of each response; one row per response in and out.
 
     ``responses`` has ``annotations: array<struct<ord, text, label_raw, label, occurrence, hint, hint_end>>``.
+    With ``check_labels`` only spans with an allowed label move the place where the next search starts.
     """
-    udf = located_udf(mode, threshold, ordered=True, check_labels=check_labels)
-    return responses.join(docs.select("review_id", F.col("text").alias("source")), "review_id").withColumn(
-        "found", udf("source", "annotations")
-    )
-
-
-def passage_candidates(
-    docs: DataFrame, passages: DataFrame, min_chars: int = Q + W - 1, rarest_only: bool = True, min_share: float = 0.2
-) -> DataFrame:
-    """(item_id, review_id) pairs that may hold a passage, by an equi-join on winnowed fingerprints.
-
-    A verbatim passage has all its fingerprints in the document, so one of them is enough; the one
-    found in the fewest documents is used. With ``rarest_only=False`` a document that shares at least
-    ``min_share`` of the passage's fingerprints is a candidate, which also admits altered passages.
-    ``passages`` shorter than ``min_chars`` use single trigrams instead of windows.
+    rows = responses.join(searchable(docs, mode, tokens), "review_id").repartition(task_count(docs.sparkSession), "review_id", F.xxhash64("annotations"))
+    needles = F.transform("annotations", lambda a: stripped(F.coalesce(a["text"], F.lit(""))))
+    item = lambda a, needle: F.struct(needle.alias("needle"), a["hint"].cast("int").alias("hint"), a["label"].alias("label"))
+    rows = rows.withColumn("items", F.zip_with("annotations", needles, item))
+    if mode != "exact":
+        rows = rows.withColumn("_forms", match_form_lists(F.transform("items", lambda a: a["needle"])))
+        rows = rows.withColumn("items", F.zip_with("items", "_forms", lambda a, f: a.withField("forms", _forms(f)))).drop("_forms")
+    rows = _with_windows(rows, mode, threshold)
+    legal = F.array(*[F.lit(x) for x in allowed]) if allowed else F.array().cast("array<string>")
+    carries = (lambda a: F.coalesce(F.array_contains(legal, a["label"]), F.lit(False))) if check_labels else None
+    found = folded(F.col("items"), Source(tokens="tok" if tokens else None), mode, counts, carries)
+    return rows.select(*responses.columns, "source", found.alias("found"))
+
+
+def passage_candidates(docs: DataFrame, passages: DataFrame, min_chars: int = Q + W - 1) -> DataFrame:
+    """(item_id, review_id) pairs that may hold a passage verbatim, by an equi-join on winnowed fingerprints.
+
+    A verbatim passage has all its fingerprints in the document, so one of them is enough; the one found in
+    the fewest documents is used. ``passages`` shorter than ``min_chars`` use single trigrams.
     """
 
     def side(df, key, q, w):
         return df.select(key, F.explode(fingerprint_udf(q, w)("text")).alias("fp"))
 
-    def one(long_enough, q, w):
-        cond = F.length("text") >= min_chars
-        wanted = side(passages.filter(cond if long_enough else ~cond), "item_id", q, w)
+    def one(cond, q, w):
+        wanted = side(passages.filter(cond), "item_id", q, w)
         seen = side(docs, "review_id", q, w)
-        if rarest_only:
-            load = seen.join(wanted.select("fp").distinct(), "fp", "left_semi").groupBy("fp").count()
-            best = wanted.join(load, "fp").groupBy("item_id").agg(
-                F.min_by("fp", F.struct("count", "fp")).alias("fp"), F.count("*").alias("present")
-            )
-            total = wanted.groupBy("item_id").agg(F.count("*").alias("total"))
-            wanted = best.join(total, "item_id").filter(F.col("present") == F.col("total")).select("item_id", "fp")
-            return seen.join(wanted, "fp").select("item_id", "review_id").distinct()
-        need = wanted.groupBy("item_id").agg(F.ceil(F.count("*") * F.lit(min_share)).alias("need"))
-        shared = seen.join(wanted, "fp").groupBy("item_id", "review_id").agg(F.count("*").alias("shared"))
-        return shared.join(need, "item_id").filter(F.col("shared") >= F.col("need")).select("item_id", "review_id")
-
-    if passages.filter(F.length("text") < min_chars).isEmpty():
-        return one(True, Q, W)
-    return one(True, Q, W).unionByName(one(False, 3, 1))
-
-
-def recover_passages(docs: DataFrame, passages: DataFrame, mode: str = "exact", **options) -> DataFrame:
+        load = seen.join(wanted.select("fp").distinct(), "fp", "left_semi").groupBy("fp").count()
+        best = wanted.join(load, "fp").groupBy("item_id").agg(F.min_by("fp", F.struct("count", "fp")).alias("fp"), F.count("*").alias("present"))
+        total = wanted.groupBy("item_id").agg(F.count("*").alias("total"))
+        wanted = best.join(total, "item_id").filter(F.col("present") == F.col("total")).select("item_id", "fp")
+        return seen.join(wanted, "fp").select("item_id", "review_id").distinct()
+
+    # no size is asked first: a side without passages joins nothing
+    return one(F.length("text") >= min_chars, Q, W).unionByName(one(F.length("text") < min_chars, 3, 1))
+
+
+def approximate_pairs(docs: DataFrame, passages: DataFrame, threshold: float = SIMILARITY, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(item_id, review_id) pairs of passages and the documents that may hold them within the allowed edits.
+
+    The passages are the query set: they go out in blocks of about ``block_chars`` characters, each
+    against all documents, with an index of their own (``SpanSet``). No pair within the edits is lost.
+    """
+    spark = docs.sparkSession
+    wanted = materialize(passages.select("item_id", match_normalized(stripped(F.coalesce("text", F.lit(""))))["text"].alias("form")).filter("form <> ''"))
+    blocks = max(1, -(-(wanted.agg(F.sum(F.length("form"))).first()[0] or 0) // block_chars))
+    texts = docs.select("review_id", match_normalized("text")["text"].alias("form"))
+    texts = materialize(texts) if blocks > 1 else texts
+    pairs = None
+    for k in range(blocks):
+        block = wanted.filter(F.pmod(F.xxhash64("item_id", "form"), F.lit(blocks)) == k).collect()
+        held = spark.sparkContext.broadcast(([r["item_id"] for r in block], [r["form"] for r in block]))
+        found = texts.mapInArrow(_block_search(held, threshold), f"item_id {wanted.schema['item_id'].dataType.simpleString()}, review_id {docs.schema['review_id'].dataType.simpleString()}")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs.distinct()
+
+
+def _block_search(held, threshold: float):
+    def run(batches):
+        ids, forms = held.value
+        index = SpanSet([codes(f) for f in forms], threshold)
+        for batch in batches:
+            found = [(ids[i], key) for key, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in sorted({i for i, _, _ in index.regions(codes(form))})]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.array(ids).type if ids else pa.int64()), pa.array([r for _, r in found], batch.column(0).type)], names=["item_id", "review_id"])
+
+    return run
+
+
+def recover_passages(docs: DataFrame, passages: DataFrame, mode: str = "exact", threshold: float = SIMILARITY) -> DataFrame:
     """Locate passages whose document is unknown: candidates first, then the usual matching.
 
-    Exact mode is complete for passages of at least three characters. The other modes look at
-    documents that share a part of the fingerprints of the passage in the matching form.
+    Exact mode is complete for passages of at least three characters; the other modes for all windows that
+    differ from the passage by at most ``1 - threshold`` of its characters (see ``approximate_pairs``).
     """
-    passages = passages.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
-    if mode == "exact":
-        pairs = passage_candidates(docs, passages, **options)
-    else:
-        plain = lambda df: df.withColumn("text", F.lower(clean_text("text")))
-        pairs = passage_candidates(plain(docs), plain(passages), rarest_only=False, **options)
-    wanted = passages.select("item_id", "text", F.hash("item_id").alias("slot"))
-    spans = pairs.join(wanted, "item_id").select("review_id", "item_id", "text", F.lit(None).cast("int").alias("hint"))
-    packed = spans.groupBy("review_id", F.expr("pmod(hash(item_id), 64)").alias("chunk")).agg(
-        F.collect_list(F.struct("item_id", "text", "hint")).alias("items")
-    )
-    joined = packed.join(docs.select("review_id", F.col("text").alias("source")), "review_id")
-    hits = joined.select("review_id", "items", located_udf(mode)("source", "items").alias("found"))
-    rows = hits.select("review_id", F.inline(F.arrays_zip("items", "found")))
-    return rows.select("review_id", "items.item_id", "found.*").filter(F.col("status") != "rejected")
+    passages = passages.withColumn("text", stripped("text"))
+    pairs = materialize(passage_candidates(docs, passages) if mode == "exact" else approximate_pairs(docs, passages, threshold))
+    # a document with very many passages is met in several chunks
+    sizes = pairs.groupBy("review_id").agg(F.ceil(F.count("*") / F.lit(FUZZY_CHUNK)).alias("_n"))
+    spans = pairs.join(passages.select("item_id", "text"), "item_id").join(sizes, "review_id").withColumn("hint", F.lit(None).cast("int"))
+    rows = locate_spans(docs, spans, mode, threshold, number="item_id", chunk_of=F.pmod(F.xxhash64("item_id"), F.col("_n")))
+    return rows.drop("text", "hint").filter(F.col("status") != "rejected")
 
 
 def span_text(df: DataFrame, text="text") -> DataFrame:

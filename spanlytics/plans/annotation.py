@@ -40,7 +40,7 @@ def _span_texts(spark, sf, change=lambda c: c, hinted=True):
       from texted join reviews using (review_id)""",
 )
 def exact_alignment(spark, sf):
-    hits = A.locate_spans(D.reviews(spark, sf), _span_texts(spark, sf, hinted=False), "exact")
+    hits = A.locate_spans(D.reviews(spark, sf), _span_texts(spark, sf, hinted=False), "exact", tokens=False, counts=False)
     return hits.select("review_id", "span_id", "status", "start", "end")
 
 
@@ -49,7 +49,7 @@ def exact_alignment(spark, sf):
     spans_prefix() + " select review_id, g_idx span_id, 'exact' status, c_start \"start\", c_end \"end\", ts token_start, tj token_end from spans",
 )
 def exact_alignment_hint(spark, sf):
-    hits = A.locate_spans(D.reviews(spark, sf), _span_texts(spark, sf), "exact")
+    hits = A.locate_spans(D.reviews(spark, sf), _span_texts(spark, sf), "exact", counts=False)
     return hits.select("review_id", "span_id", "status", "start", "end", "token_start", "token_end")
 
 
@@ -60,23 +60,29 @@ def exact_alignment_hint(spark, sf):
 def normalized_alignment(spark, sf):
     """Spans in capitals: found only in the matching form."""
     shout = lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    hits = A.locate_spans(D.reviews(spark, sf), _span_texts(spark, sf, shout), "normalized")
+    hits = A.locate_spans(D.reviews(spark, sf), _span_texts(spark, sf, shout), "normalized", tokens=False, counts=False)
     return hits.select("review_id", "span_id", "status", "start", "end")
 
 
-@query("fuzzy_alignment")
+@query(
+    "fuzzy_alignment",
+    spans_prefix(SPAN_TEXT)
+    + r""", flat as (select review_id, g_idx, length(regexp_replace(span_text, '\s+', ' ', 'g')) n from texted)
+      select review_id, g_idx span_id, case when n >= 10 then 'fuzzy' else 'rejected' end status, n >= 10 near from flat""",
+)
 def fuzzy_alignment(spark, sf):
-    """The longest gold span of each review with its middle two characters lost."""
-    r = D.reviews_with_spans(spark, sf)
-    longest = F.array_max(F.transform("spans", lambda s: F.struct((s["end"] - s["start"]).alias("n"), s["start"].alias("start"), s["end"].alias("end"))))
-    picked = r.select("review_id", "text", longest.alias("s")).filter(F.col("s").isNotNull())
-    half = F.floor(F.col("s.n") / 2).cast("int")
-    broken = F.concat(
-        slice_text("text", F.col("s.start"), F.col("s.start") + half - 1), slice_text("text", F.col("s.start") + half + 1, F.col("s.end"))
-    )
-    spans = picked.select("review_id", F.lit(0).alias("span_id"), broken.alias("text"), F.col("s.start").alias("hint"))
-    hits = A.locate_in_stages(D.reviews(spark, sf), spans)
-    return hits.select("review_id", "status", "start", "end", "token_start", "token_end", F.round("similarity", 4).alias("similarity"))
+    """Every gold span with its middle two characters changed to one that no text holds.
+
+    From ten characters on that is within the allowed edits, so a window is found that is at least as
+    near as the span itself (``near``); shorter spans are beyond them.
+    """
+    spans = _span_texts(spark, sf, lambda c: F.regexp_replace(c, r"\s+", " "))
+    size = F.length("text")
+    half = F.floor(size / 2).cast("int")
+    broken = spans.withColumns({"text": F.concat(slice_text("text", F.lit(0), half - 1), F.lit("\u2e2e\u2e2e"), slice_text("text", half + 1, size))})
+    hits = A.locate_spans(D.reviews(spark, sf), broken, counts=False)
+    near = (F.col("status") == "fuzzy") & (F.col("similarity") >= 1 - 2 / F.length("text") - 1e-9)
+    return hits.select("review_id", "span_id", "status", near.alias("near"))
 
 
 @query(
@@ -89,6 +95,19 @@ def passage_recovery(spark, sf):
     return hits.select("item_id", "review_id", "start", "end")
 
 
+@query(
+    "passage_recovery_altered",
+    """select item_id, doc_id review_id, 'fuzzy' status from benchmark b join documents d on contains(d.text, trim(b.text)) where length(trim(b.text)) >= 30""",
+)
+def passage_recovery_altered(spark, sf):
+    """Passages with every eighth character changed, in the documents that hold the unchanged passage."""
+    items = D.table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("original")).filter(F.length("original") >= 30)
+    altered = items.select("item_id", F.regexp_replace("original", "(?s)(.{7}).", "$1\u2e2e").alias("text"))
+    hits = A.recover_passages(D.reviews(spark, sf), altered, "full").join(items, "item_id")
+    docs = D.reviews(spark, sf).select("review_id", "text")
+    return hits.join(docs, "review_id").filter(F.contains("text", "original")).select("item_id", "review_id", "status")
+
+
 @query("passage_recovery_fuzzy")
 def passage_recovery_fuzzy(spark, sf):
     hits = A.recover_passages(D.reviews(spark, sf), D.table(spark, sf, "benchmark"), "full")

@@ -195,7 +195,7 @@ _SQUEEZED = r"""trim(regexp_replace(regexp_replace(replace(regexp_replace(html,
 @query("normalized_text", f"select page_id, sha256(t) text_sha256, length(t) n from (select page_id, {_SQUEEZED} t from pages)")
 def normalized_text(spark, sf):
     rows = D.table(spark, sf, "pages").select("page_id", X.normalized("html").alias("m"))
-    return rows.select("page_id", X.sha256_text("m.text").alias("text_sha256"), F.size("m.index").alias("n"))
+    return rows.select("page_id", X.sha256_text("m.text").alias("text_sha256"), F.col("m.size").alias("n"))
 
 
 @query("clean_text", f"select page_id, sha256(t) text_sha256 from (select page_id, {_SQUEEZED} t from pages)")
@@ -208,9 +208,9 @@ def normalized_offsets(spark, sf):
     """Gold spans mapped into the normalised text and back."""
     r = D.reviews_with_spans(spark, sf).withColumn("m", X.normalized("text"))
     there = r.select(
-        "review_id", "m", F.transform("spans", lambda s: X.from_source("m.index", s["start"], s["end"])).alias("p")
+        "review_id", "m", F.transform("spans", lambda s: X.from_source("m", s["start"], s["end"])).alias("p")
     )
-    back = there.select("review_id", F.posexplode(F.transform("p", lambda s: X.to_source("m.index", s["start"], s["end"]))).alias("g_idx", "s"))
+    back = there.select("review_id", F.posexplode(F.transform("p", lambda s: X.to_source("m", s["start"], s["end"]))).alias("g_idx", "s"))
     return back.select("review_id", "g_idx", "s.start", "s.end")
 
 

@@ -50,6 +50,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks of a stage that computes much from little data, which adaptive coalescing by size would put in one."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers of the cluster, once per application."""
     sc = spark.sparkContext

@@ -1,4 +1,4 @@
-"""Helpers against plain statements of the rules, no Spark needed."""
+"""Helpers against plain statements of the rules."""
 
 import random
 import re
@@ -6,13 +6,12 @@ import re
 import numpy as np
 import pytest
 
+from spanlytics.functions import approx as N
 from spanlytics.functions import fingerprints as FP
-from spanlytics.functions import locate as L
 from spanlytics.functions import tails as T
 from spanlytics.functions import text as X
 from spanlytics.functions.tokens import token_bounds
 
-SRC = "Lemma two carries the proof, yet its second case was never written down. Lemma two carries the corollary as well."
 MESSY = "Both  figures share one caption,\r\nwhich hides the scale. <em>Please</em> split them – the “left” one first.\n\n\nNext part.\nThe proof\nis short."
 
 
@@ -25,51 +24,146 @@ def test_tokens_equal_the_regular_expression():
         assert [(m.start(), m.end()) for m in pattern.finditer(text)] == list(zip(s.tolist(), e.tolist()))
 
 
-def test_occurrence_choice():
-    src = L.Source(SRC)
-    second = SRC.rindex("Lemma two carries")
-    assert L.locate(src, "Lemma two carries")["start"] == 0
-    assert L.locate(src, "Lemma two carries", prev_end=5)["start"] == second
-    assert L.locate(src, "Lemma two carries", hint=60)["start"] == second
-
-
-def test_normalized_match_covers_quotes_case_and_dashes():
-    text = "Split “left” and ‘right’ — twice."
-    hit = L.locate(L.Source(text), "split \"left\" and 'right' - twice.")
-    assert hit["status"] == "normalized" and (hit["start"], hit["end"]) == (0, len(text))
-
-
-def test_fuzzy_recovers_paraphrase_and_rejects_invention():
-    src = L.Source(SRC)
-    hit = L.locate(src, "its second case has never been written down")
-    assert hit["status"] == "fuzzy" and SRC[hit["start"] : hit["end"]].startswith("its second case was never written down")
-    assert hit["token_end"] > hit["token_start"]
-    assert L.locate(src, "A longer bibliography would please everyone at once.")["status"] == "rejected"
-    assert L.locate(src, "Its second case was never written down", mode="exact")["status"] == "rejected"
-
-
-def test_edit_rows_equal_the_full_table():
+def windows_by_hand(text, span, threshold):
+    """Best similarity over all windows, by the full table of common subsequences of every suffix."""
+    best, where = 0.0, set()
+    for a in range(len(text)):
+        row = [0] * (len(span) + 1)
+        for b in range(a, len(text)):
+            new = [0]
+            for j, y in enumerate(span):
+                new.append(row[j] + 1 if y == text[b] else max(row[j + 1], new[j]))
+            row = new
+            ratio = 2 * row[-1] / (b + 1 - a + len(span))
+            if ratio > best + 1e-12:
+                best, where = ratio, set()
+            if abs(ratio - best) < 1e-12:
+                where.add((a, b + 1))
+    return (best, where) if best >= threshold - 1e-12 else (0.0, set())
+
+
+def test_best_windows_equal_all_windows():
+    rng = random.Random(6)
+    texts, spans = [], []
+    for k in range(120):
+        text = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 45)))
+        a = rng.randrange(len(text))
+        span = "".join(c for c in text[a : a + rng.randint(1, 14)] if rng.random() > 0.15) or "a"
+        texts.append(text), spans.append(span if k % 5 else "".join(rng.choice("abcd ") for _ in range(6)))
+    found = N.best_windows([N.codes(t) for t in texts], [N.codes(s) for s in spans], 0.8)
+    for t, s, (ratio, windows) in zip(texts, spans, found):
+        want, where = windows_by_hand(t, s, 0.8)
+        assert ratio == pytest.approx(want) and set(windows) <= where and bool(windows) == bool(where)
+        assert {b for _, b in where} == {b for _, b in windows}  # one window for each end
+    assert N.best_windows([N.codes(""), N.codes("x")], [N.codes("a"), N.codes("")], 0.8) == [(0.0, []), (0.0, [])]
+
+
+def edits(text, span):
+    row = [0] * (len(text) + 1)
+    for j, y in enumerate(span, 1):
+        new = [j]
+        for i, x in enumerate(text, 1):
+            new.append(min(row[i - 1] + (x != y), row[i] + 1, new[i - 1] + 1))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh    ", "etaoin shrdlu"])
+def test_no_occurrence_within_the_edits_is_lost(letters):
+    rng = random.Random(len(letters))
+    text = "".join(rng.choice(letters) for _ in range(500))
+    spans = []
+    for size in [*range(1, 12), 20, 30, 30, 31, 45, 60, 61, 100, 150] * 2:
+        a = rng.randrange(500 - size)
+        chars = list(text[a : a + size])
+        for _ in range(rng.randint(0, N.allowed_edits(size, 0.8) + 1)):  # one more than allowed in some
+            at = rng.randrange(len(chars) + 1)
+            kind = rng.randrange(3)
+            if kind == 0:
+                chars.insert(at, rng.choice(letters + "#"))
+            elif at < len(chars) and len(chars) > 1:
+                chars[at : at + 1] = [] if kind == 1 else [rng.choice(letters + "#")]
+        spans.append("".join(chars))
+    index = N.SpanSet([N.codes(s) for s in spans], 0.8)
+    regions = index.regions(N.codes(text))
+    for i, s in enumerate(spans):
+        within = edits(text, s) <= N.allowed_edits(len(s), 0.8)
+        mine = [text[a:b] for k, a, b in regions if k == i]
+        assert not within or any(edits(part, s) == edits(text, s) for part in mine), (i, s)
+    assert index.regions(N.codes("")) == [] and N.SpanSet([], 0.8).regions(N.codes(text)) == []
+
+
+def test_piece_distances_equal_the_full_table():
     rng = random.Random(1)
-    code = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
-    for anchored in (False, True):
-        for _ in range(100):
-            a = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 30)))
-            b = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 15)))
-            row = [i if anchored else 0 for i in range(len(a) + 1)]
-            for j, y in enumerate(b, 1):
-                new = [j]
-                for i, x in enumerate(a, 1):
-                    new.append(min(row[i - 1] + (x != y), row[i] + 1, new[i - 1] + 1))
-                row = new
-            assert L.edit_rows(code(a), code(b), anchored).tolist() == row
+    text = "".join(rng.choice("abc ") for _ in range(200))
+    pieces = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    starts = np.array([rng.randrange(150) for _ in pieces])
+    ends = starts + np.array([rng.randint(1, 40) for _ in pieces])
+    got = N.piece_distances(N.codes(text), starts, ends, [N.codes(p) for p in pieces])
+    assert got.tolist() == [edits(text[a:b], p) for a, b, p in zip(starts, ends, pieces)]
+
+
+def spread(mapped):
+    """Every character of a changed text with its source position."""
+    text, at, source = mapped
+    own = np.arange(len(text))
+    k = np.searchsorted(at, own, side="right") - 1
+    return text, (np.asarray(source)[k] + own - np.asarray(at)[k]).tolist() if len(text) else []
+
+
+def plain_map(text, change, tags, keep_breaks):
+    """The rules stated character by character."""
+    hidden = {i for m in re.finditer(X.TAG, text) for i in range(*m.span())} if tags else set()
+    pieces = [(c, i) for i, ch in enumerate(text) if i not in hidden for c in change(ch)]
+    out, gap = [], None
+    for c, i in pieces:
+        if c.isspace():
+            gap = (i if gap is None else gap[0], (gap is not None and gap[1]) or c in X.LINE_BREAKS)
+            continue
+        if gap is not None and out:
+            out.append(("\n" if gap[1] and keep_breaks else " ", gap[0]))
+        gap = None
+        out.append((c, i))
+    return "".join(c for c, _ in out), [i for _, i in out]
 
 
 def test_normalised_text_maps_back_to_its_source():
-    text, index = X.normalize_with_map(MESSY)
+    text, index = spread(X.normalize_with_map(MESSY))
     assert all(MESSY[i] == c for c, i in zip(text, index) if not c.isspace())
     assert "<em>" not in text and "\r" not in text and "  " not in text
-    form, idx = X.match_form("A  “B”\tc")
+    form, idx = spread(X.match_forms(["A  “B”\tc"])[0])
     assert form == 'a "b" c' and ["A  “B”\tc"[i] for i in idx] == ["A", " ", "“", "B", "”", "\t", "c"]
+    assert len(X.match_forms(["plain words only " * 500 + "end"])[0][1]) == 1
+
+
+def test_index_runs_equal_the_rules_character_by_character(monkeypatch):
+    rng = random.Random(12)
+    letters = list("aB .\n\t<>/i") + ["ﬁ", "½", "İ", "\u200b", "\xa0", "…", "“", "—", "\r\n", "<b>", "</i>", "日", "é", "ﷺ", "\x1c", "\u2028", "¨", "ß"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(500)] + ["", " ", "\u200b"]
+    normal = lambda c: "" if c in X.ZERO_WIDTH else X.unicodedata.normalize("NFKC", c)
+    matching = lambda c: "".join(x.lower() for x in X.unicodedata.normalize("NFKC", X.UNIFIED.get(c, c)))
+    monkeypatch.setattr(X, "BLOCK_CHARS", 100)
+    for t, form in zip(texts, X.match_forms(texts)):
+        assert spread(form) == plain_map(t, matching, False, False)
+        assert spread(X.normalize_with_map(t)) == plain_map(t, normal, True, True)
+
+
+def test_places_are_looked_up_by_binary_search(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", " ", "ﬁ", "  ", "\u200b", "ﷺ"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    rows = [(t, a, a + rng.randint(0, 9)) for t in texts for a in range(0, len(t) + 2, 3)]
+    df = spark.createDataFrame(rows, "t string, a int, b int").withColumn("m", X.normalized("t"))
+    got = df.select("t", "a", "b", X.from_source("m", "a", "b").alias("f"), X.to_source("m", "a", "b").alias("s")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        _, index = spread(X.normalize_with_map(r.t))
+        start, end = sum(i < r.a for i in index), sum(i < r.b for i in index)
+        assert (r.f.start, r.f.end) == (start, max(start, end))
+        if index:
+            at = lambda p: index[min(max(p, 0), len(index) - 1)]
+            assert (r.s.start, r.s.end) == (at(r.a), at(r.b - 1) + 1 if r.b > r.a else at(r.a))
+        else:
+            assert (r.s.start, r.s.end) == (r.a, r.b)
 
 
 def test_sentences_follow_soft_wraps():
