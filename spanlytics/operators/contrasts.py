@@ -59,7 +59,7 @@ def _unit_pairs(units: DataFrame, policy: str) -> DataFrame:
 
 
 def ablation_main(
-    counts: DataFrame, units: DataFrame, n: int = RESAMPLES, seed: int = SEED, policy: str = "pooled", method="multinomial"
+    counts: DataFrame, units: DataFrame, n: int = RESAMPLES, seed: int = SEED, policy: str = "pooled", method="poisson"
 ) -> DataFrame:
     """The full configuration against every other one, per dataset and backend, in one job."""
     family = ["dataset", "backend", "ablation"]
@@ -92,7 +92,7 @@ def ablation_main(
 
 
 def dataset_contrast(
-    counts: DataFrame, first: str, second: str, n: int = RESAMPLES, seed: int = SEED, policy="pooled", method="multinomial"
+    counts: DataFrame, first: str, second: str, n: int = RESAMPLES, seed: int = SEED, policy="pooled", method="poisson"
 ) -> DataFrame:
     """Effect of each ablation in one dataset minus its effect in another."""
     paired = _full_against(counts, policy).filter(F.col("dataset").isin(first, second))
@@ -102,7 +102,7 @@ def dataset_contrast(
 
 
 def backend_pairwise(
-    counts: DataFrame, units: DataFrame, n: int = RESAMPLES, seed: int = SEED, policy="pooled", method="multinomial"
+    counts: DataFrame, units: DataFrame, n: int = RESAMPLES, seed: int = SEED, policy="pooled", method="poisson"
 ) -> DataFrame:
     """All pairs of backends under the full configuration, Holm-adjusted per dataset."""
     family = ["dataset", "backend_a", "backend_b"]
@@ -151,7 +151,7 @@ def multirun_stability(counts: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def round_comparison(
-    counts: DataFrame, units: DataFrame, n: int = RESAMPLES, seed: int = SEED, policy="pooled", method="multinomial"
+    counts: DataFrame, units: DataFrame, n: int = RESAMPLES, seed: int = SEED, policy="pooled", method="poisson"
 ) -> DataFrame:
     """Second round minus first round with per-label accuracies; ``counts`` hold both rounds."""
     second = pool_runs(counts.filter(F.col("round") == 2), SYSTEM, policy)

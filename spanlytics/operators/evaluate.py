@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from spanlytics.functions.core import count_if, ratio, with_prf
 from spanlytics.functions.labels import LABELS, NONE, is_recovered, scoring_status
 from spanlytics.operators.matching import KEYS, RUN_KEYS, greedy_match, overlap_pairs
+from spanlytics.session import materialize
 
 TAUS = [0.3, 0.5, 0.7, 0.9, 1.0]
 PRIMARY_TAU = 0.5
@@ -173,17 +174,21 @@ class Scores:
 
 
 def score(results: DataFrame, pred: DataFrame, gold: DataFrame) -> Scores:
-    """Scoring frames. Predictions for reviews without a result row are skipped."""
+    """Scoring frames. Predictions for reviews without a result row are skipped.
+
+    Gold spans and pairs are written once: units, matches and counters all read them.
+    """
     known = results.select("review_id").distinct()
     view = prediction_view(pred).join(known, "review_id", "left_semi")
-    pairs = overlap_pairs(view, gold)
+    gold = materialize(gold)
+    pairs = materialize(overlap_pairs(view, gold))
     return Scores(
         results=results,
         pred=view,
         gold=gold,
         pairs=pairs,
         units=unit_records(results, gold, pairs),
-        matches=greedy_match(pairs, view, gold),
+        matches=greedy_match(pairs),
     )
 
 

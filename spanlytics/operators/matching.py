@@ -7,7 +7,7 @@ is kept only in the block holding its first shared token, so it appears once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanlytics.functions.labels import LABELS, is_recovered
 from spanlytics.functions.tokens import overlap, token_iou
@@ -16,7 +16,8 @@ from spanlytics.session import materialize
 RUN_KEYS = ["backend", "config_id", "run", "round"]
 KEYS = ["dataset", *RUN_KEYS]
 BLOCK = 64
-MAX_FOLD = 1000
+#: Tokens of a stretch of one review in which a task sweeps.
+STRETCH = 4096
 
 
 def _with_blocks(df: DataFrame, ts: str, tj: str, block: int) -> DataFrame:
@@ -59,6 +60,8 @@ def overlap_pairs(pred: DataFrame, gold: DataFrame, keys=KEYS, block: int = BLOC
         "g_label",
         shared.alias("overlap"),
         token_iou("p_ts", "p_tj", "g_ts", "g_tj").alias("iou"),
+        F.least("p_ts", "g_ts").alias("lo"),
+        F.greatest("p_tj", "g_tj").alias("hi"),
         (
             (F.col("p_label") == F.col("g_label"))
             & (F.col("p_start") == F.col("g_start"))
@@ -94,7 +97,7 @@ def _fold(ordered: Column) -> Column:
 
 
 def match_small_groups(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """Greedy matching by one ordered fold per group; for groups known to be small."""
+    """Greedy matching by one ordered fold per group; for groups known to be small, such as components."""
     entry = F.struct(
         (-F.col("iou")).alias("neg_iou"),
         F.col("p_idx").cast("bigint").alias("p_idx"),
@@ -134,38 +137,34 @@ def match_by_rounds(pairs: DataFrame, group: list[str]) -> DataFrame:
     return pairs.sparkSession.createDataFrame([], pairs.select(*columns).schema) if kept is None else kept
 
 
-def greedy_match(
-    pairs: DataFrame,
-    pred: DataFrame,
-    gold: DataFrame,
-    keys=KEYS,
-    max_fold: int = MAX_FOLD,
-) -> DataFrame:
+def overlap_components(pairs: DataFrame, group: list[str], stretch: int = STRETCH) -> DataFrame:
+    """``pairs`` with ``component``: pairs of different components of a group share no span.
+
+    A sweep over the token line: pairs that share a span overlap, so a component ends where a pair begins
+    at or behind the greatest end so far. The line is cut into stretches; the greatest end and the last
+    beginning of a component are carried from stretch to stretch, so a long review is swept by many tasks.
+    """
+    rows = pairs.withColumn("_s", F.expr(f"cast(lo div {stretch} as int)"))
+    before = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*group, "_s").agg(F.max("hi").alias("_hi"))
+    carry = ends.select(*group, "_s", F.coalesce(F.max("_hi").over(before), F.lit(-1)).alias("_reach"))
+    inside = Window.partitionBy(*group, "_s").orderBy("lo", "hi", "p_idx", "g_idx")
+    earlier = F.max("hi").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    swept = rows.join(carry, [*group, "_s"]).withColumn("_reach", F.greatest("_reach", F.coalesce(earlier, F.lit(-1))))
+    swept = swept.withColumn("_begin", F.when(F.col("lo") >= F.col("_reach"), F.col("lo")))
+    begun = swept.groupBy(*group, "_s").agg(F.max("_begin").alias("_last"))
+    carry = begun.select(*group, "_s", F.max("_last").over(before).alias("_open"))
+    own = F.max("_begin").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return swept.join(carry, [*group, "_s"]).withColumn("component", F.coalesce(own, "_open")).drop("_s", "_reach", "_begin", "_open")
+
+
+def greedy_match(pairs: DataFrame, keys=KEYS) -> DataFrame:
     """One-to-one matches, taken by (iou desc, prediction index, gold index) per run, review, label.
 
     The order is by IoU first, so the matching at a threshold tau is the part of this result with
-    ``iou >= tau``: one matching serves a whole grid of thresholds. Groups with at most
-    ``max_fold`` spans on either side are folded; larger ones go through rounds.
+    ``iou >= tau``: one matching serves a whole grid of thresholds. Pairs of different overlap components
+    cannot get in each other's way, so each component is folded by itself, however large its review is.
     """
     group = [*keys, "review_id", "g_label"]
-    candidates = same_label(pairs)
-    big_p = (
-        pred.filter(F.col("label").isin(LABELS))
-        .groupBy(*keys, "review_id", F.col("label").alias("g_label"))
-        .count()
-        .filter(F.col("count") > max_fold)
-        .select("review_id", "g_label")
-    )
-    big_g = (
-        gold.groupBy("review_id", F.col("label").alias("g_label"))
-        .count()
-        .filter(F.col("count") > max_fold)
-        .select("review_id", "g_label")
-    )
-    big = materialize(big_p.unionByName(big_g).distinct())
-    if big.isEmpty():
-        return match_small_groups(candidates, group)
-    hot_keys = ["review_id", "g_label"]
-    small = match_small_groups(candidates.join(big, hot_keys, "left_anti"), group)
-    hot = match_by_rounds(candidates.join(big, hot_keys, "left_semi"), group)
-    return small.unionByName(hot.select(*small.columns))
+    matched = match_small_groups(overlap_components(same_label(pairs), group), [*group, "component"])
+    return matched.drop("component")

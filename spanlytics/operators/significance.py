@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from spanlytics.functions.core import col, count_if, prf_columns, stable_hash
 from spanlytics.functions.tails import binom_half_cdf, binom_half_pmf, chi2_sf, f_sf
-from spanlytics.session import materialize
+from spanlytics.session import materialize, task_count
 
 COUNTS = ["n_units", "n_correct", "tp", "fp", "fn"]
 RESAMPLES = 10_000
@@ -18,6 +20,13 @@ POISSON_CDF = [
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
     0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217,
 ]
+# Modulus and summands of the draws, and the thresholds of a weight of 1, 2, 3, ...
+PRIME = 2147483647
+STRIDE = 1103515245
+SUMMANDS = (12345, 67890, 1013904223)
+THRESHOLDS = [int(c * PRIME) for c in POISSON_CDF]
+#: Resamples whose weights are held at once, and reviews of one such block.
+B_BLOCK, REVIEW_BLOCK = 500, 1000
 
 
 def pool_runs(counts: DataFrame, by: list[str], policy: str = "pooled") -> DataFrame:
@@ -39,38 +48,97 @@ def _metric(side: str, metric: str) -> Column:
     return prf_columns(*[f"{side}_{c}" for c in COUNTS])[metric]
 
 
-def _sums(weight: Column | None = None) -> list[Column]:
-    cols = [s + c for s in ("a_", "b_") for c in COUNTS]
-    return [F.sum(F.col(c) if weight is None else F.col(c) * weight).alias(c) for c in cols]
+def _sums() -> list[Column]:
+    return [F.sum(s + c).alias(s + c) for s in ("a_", "b_") for c in COUNTS]
+
+
+def weights(keys: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of reviews (rows) in resamples (columns), from three squarings modulo a prime."""
+    x = (keys[:, None] + b[None, :] * STRIDE) % PRIME
+    for c in SUMMANDS:
+        x = (x * x + c) % PRIME
+    return np.searchsorted(np.array(THRESHOLDS), x, side="right")
+
+
+def _block_sums(family: list[str], columns: list[str], n: int):
+    """Per family and block of resamples: weight matrix times count matrix, summed over the rows of a task."""
+
+    def run(batches):
+        total: dict[tuple, np.ndarray] = {}
+        kinds = None
+        for batch in batches:
+            kinds = {f: batch.schema.field(f).type for f in family}
+            names = list(zip(*[batch.column(f).to_pylist() for f in family]))
+            number = {k: i for i, k in enumerate(dict.fromkeys(names))}
+            which = np.array([number[k] for k in names])
+            keys, place = np.unique(batch.column("_key").to_numpy(), return_inverse=True)
+            counts = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float)
+            for first in range(0, len(keys), REVIEW_BLOCK):
+                rows = np.flatnonzero((place >= first) & (place < first + REVIEW_BLOCK))
+                by_family = [(k, rows[which[rows] == i]) for k, i in number.items()]
+                for lo in range(0, n, B_BLOCK):
+                    w = weights(keys[first : first + REVIEW_BLOCK], np.arange(lo, min(lo + B_BLOCK, n))).astype(float)
+                    for k, own in by_family:
+                        if len(own):
+                            part = counts[:, own] @ w[place[own] - first]
+                            total[k, lo] = total[k, lo] + part if (k, lo) in total else part
+        if total:
+            found = list(total)
+            arrays = [pa.array([k[i] for k, _ in found], kinds[f]) for i, f in enumerate(family)]
+            sums = [np.rint(total[x]).astype(np.int64).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([lo for _, lo in found], pa.int32()), pa.array(sums, pa.binary())], names=[*family, "lo", "sums"])
+
+    return run
+
+
+def _merged_sums(family: list[str], columns: list[str]):
+    """The blocks of all tasks added up; a row for each family and resample."""
+
+    def run(batches):
+        total: dict[tuple, np.ndarray] = {}
+        kinds = None
+        for batch in batches:
+            kinds = {f: batch.schema.field(f).type for f in family}
+            names = zip(*[batch.column(f).to_pylist() for f in family])
+            for k, lo, data in zip(names, batch.column("lo").to_pylist(), batch.column("sums").to_pylist()):
+                part = np.frombuffer(data, np.int64).reshape(len(columns), -1)
+                total[k, lo] = total[k, lo] + part if (k, lo) in total else part
+        for (k, lo), sums in total.items():
+            n = sums.shape[1]
+            arrays = [pa.array([k[i]] * n, kinds[f]) for i, f in enumerate(family)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.arange(lo, lo + n, dtype=np.int32)), *map(pa.array, sums)], names=[*family, "b", *columns])
+
+    return run
 
 
 def resampled_sums(
-    paired: DataFrame, family: list[str], n: int = RESAMPLES, seed: int = SEED, salt: list[str] = (), method: str = "multinomial"
+    paired: DataFrame, family: list[str], n: int = RESAMPLES, seed: int = SEED, salt: list[str] = (), method: str = "poisson"
 ) -> DataFrame:
     """Count sums of ``n`` resamples of the reviews of each family: family, b, a_*, b_*.
 
-    ``multinomial`` draws R reviews with replacement: slot hashes point at review numbers and an
-    equi-join fetches the counts. ``poisson`` gives every review an independent Poisson(1) weight
-    per resample, the usual form for data too large to index: no join, no numbering, and sums
-    combine before the shuffle. The method does not depend on the size of the data.
-    Draws depend on seed, salt, resample and slot (or review), so equal families share draws.
+    ``poisson`` gives every review an independent Poisson(1) weight per resample, the usual form for data
+    too large to index. The weights of a block of reviews form a matrix that is multiplied with the matrix
+    of their counts, so no row is repeated for a resample; a task sends one sum for each family and block
+    of resamples. ``multinomial`` draws R reviews with replacement: slot hashes point at review numbers and
+    an equi-join fetches the counts. The method does not depend on the size of the data.
+    Draws depend on seed, salt, resample and review (or slot), so equal families share draws.
     """
-    if method == "multinomial":
-        paired = materialize(paired)
-    seq = F.sequence(F.lit(0), F.lit(n - 1))
     if method == "poisson":
-        rows = paired.select("*", F.explode(seq).alias("b"))
-        u = stable_hash(F.lit(seed), *salt, "b", "review_id") / F.lit(float(1 << 32))
-        drawn = rows.select("*", F.explode(F.array(u)).alias("u"))
-        weight = sum((F.col("u") >= F.lit(t)).cast("int") for t in POISSON_CDF)
-        return drawn.groupBy(*family, "b").agg(*_sums(weight))
+        columns = [s + c for s in ("a_", "b_") for c in COUNTS]
+        rows = paired.select(*family, *[F.col(c).cast("bigint") for c in columns], (stable_hash(F.lit(seed), *salt, "review_id") % PRIME).alias("_key"))
+        kinds = ", ".join(f"{f} {paired.schema[f].dataType.simpleString()}" for f in family)
+        tasks = task_count(paired.sparkSession)
+        parts = rows.repartition(tasks, "_key").mapInArrow(_block_sums(family, columns, n), f"{kinds}, lo int, sums binary")
+        dealt = parts.repartition(tasks, *family, "lo")
+        return dealt.mapInArrow(_merged_sums(family, columns), f"{kinds}, b int, {', '.join(c + ' bigint' for c in columns)}")
+    paired = materialize(paired)
     numbered = paired.withColumn(
         "idx", F.row_number().over(Window.partitionBy(*family).orderBy("review_id")).cast("bigint") - 1
     )
     size = paired.groupBy(*family).agg(F.count("*").alias("R"))
     spread = paired.sparkSession.sparkContext.defaultParallelism
     slots = (
-        size.select("*", F.explode(seq).alias("b"))
+        size.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
         .repartition(spread, *family, "b")
         .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("R") - 1)).alias("slot"))
         .select(*family, "b", (stable_hash(F.lit(seed), *salt, "b", "slot") % F.col("R")).alias("idx"))
@@ -121,7 +189,7 @@ def paired_bootstrap(
     seed: int = SEED,
     salt: list[str] = (),
     confidence: float = CONFIDENCE,
-    method: str = "multinomial",
+    method: str = "poisson",
 ) -> DataFrame:
     """One row per family: both values, difference, interval and p-value."""
     sums = resampled_sums(paired, family, n, seed, salt, method)
@@ -140,7 +208,7 @@ def bootstrap_contrast(
     n: int = RESAMPLES,
     seed: int = SEED,
     confidence: float = CONFIDENCE,
-    method: str = "multinomial",
+    method: str = "poisson",
 ) -> DataFrame:
     """Difference of two differences, e.g. between datasets, with independent draws in each."""
     family = [split, *by]

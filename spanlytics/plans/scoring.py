@@ -94,10 +94,10 @@ def span_pairs_iou(spark, sf):
 
 @query(
     "greedy_matches",
-    scored() + f" select {K}, review_id, g_label, p_idx, g_idx, {r6('iou')} iou from matches where iou >= 0.9",
+    scored() + f" select {K}, review_id, g_label, p_idx, g_idx, {r6('iou')} iou from matches",
 )
 def greedy_matches(spark, sf):
-    found = scores(spark, sf).matches.filter(F.col("iou") >= 0.9)
+    found = scores(spark, sf).matches
     return rounded(found.select(*KEYS, "review_id", "g_label", "p_idx", "g_idx", "iou"))
 
 

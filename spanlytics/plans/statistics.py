@@ -15,8 +15,8 @@ from spanlytics.plans.registry import query, r6, rounded
 from spanlytics.plans.scoring import inputs
 from spanlytics.session import materialize
 
-B = 60
-SEED = 12345
+B = S.RESAMPLES
+SEED = S.SEED
 
 
 # ------------------------------------------------------------- SQL forms of tail probabilities
@@ -233,14 +233,21 @@ _AB = ", ".join(f"{s}.{c} {s}_{c}" for s in "ab" for c in _C)
 _SUMAB = ", ".join(f"sum({s}_{c}) {s}_{c}" for s in "ab" for c in _C)
 
 
+_W = " + ".join(f"(x >= {t})::int" for t in S.THRESHOLDS)
+
+
 def boot_sql(name: str, fam: str, seed: int, metric: str) -> str:
     """CTE ``name`` with point values, interval and p per family, from a CTE ``paired``."""
     m = _f1 if metric == "f1" else _acc
-    eq = " and ".join(f"s.{c} = n.{c}" for c in ["dataset"])
-    return f"""{name}_num as (select *, row_number() over (partition by {fam} order by review_id) - 1 idx, count(*) over (partition by {fam}) rr from paired),
-{name}_slot as materialized (select dataset, rr, b, slot, {h(str(seed), 'dataset', 'b', 'slot')} % rr idx
-  from (select dataset, rr, b, unnest(range(0, rr)) slot from (select dataset, rr, unnest(range(0, {B})) b from (select distinct dataset, rr from {name}_num)))),
-{name}_sum as (select {', '.join('n.' + c.strip() for c in fam.split(','))}, s.b, {_SUMAB} from {name}_slot s join {name}_num n on {eq} and s.rr = n.rr and s.idx = n.idx group by all),
+    step = lambda k, c: f"(x{k} * x{k} + {c}) % {S.PRIME}"
+    return f"""{name}_x0 as (select dataset, review_id, b::int b, ({h(str(seed), 'dataset', 'review_id')} % {S.PRIME} + b * {S.STRIDE}) % {S.PRIME} x0
+  from (select distinct dataset, review_id from paired), range(0, {B}) t(b)),
+{name}_x1 as (select dataset, review_id, b, {step(0, S.SUMMANDS[0])} x1 from {name}_x0),
+{name}_x2 as (select dataset, review_id, b, {step(1, S.SUMMANDS[1])} x2 from {name}_x1),
+{name}_x3 as (select dataset, review_id, b, {step(2, S.SUMMANDS[2])} x from {name}_x2),
+{name}_w as materialized (select * from (select dataset, review_id, b, {_W} w from {name}_x3) where w > 0),
+{name}_sum as (select {', '.join('p.' + c.strip() for c in fam.split(','))}, w.b, {', '.join(f'sum({s}_{c} * w) {s}_{c}' for s in 'ab' for c in _C)}
+  from {name}_w w join paired p on p.dataset = w.dataset and p.review_id = w.review_id group by all),
 {name}_d as materialized (select {fam}, b, {m('a')} - {m('b')} delta from {name}_sum),
 {name}_ci as (select {fam}, count(delta) n_resamples, quantile_cont(delta, 0.025::double) ci_low, quantile_cont(delta, (1 - 0.025)::double) ci_high,
   least(1, 2 * least((count(*) filter (delta <= 0) + 1)::double / (count(delta) + 1), (count(*) filter (delta >= 0) + 1)::double / (count(delta) + 1))) p_value,
@@ -274,22 +281,16 @@ def paired_bootstrap_f1(spark, sf):
     return rounded(out)
 
 
-_PW = " + ".join(f"(u >= {t!r}::double)::int" for t in S.POISSON_CDF)
-
-
 @query(
     "poisson_bootstrap_f1",
     scored()
-    + f""", {ABLATION}, d as (select p.*, b, {h(str(SEED), 'dataset', 'b', 'review_id')} / 4294967296::double u from paired p, range(0, {B}) t(b)),
-    w as (select {FAM}, b, {', '.join(f'sum({s}_{c} * w) {s}_{c}' for s in 'ab' for c in _C)} from (select *, {_PW} w from d) group by all),
-    e as (select {FAM}, {_f1('a')} - {_f1('b')} delta from w)
-    select {FAM}, count(*) n_resamples, {r6('quantile_cont(delta, 0.025::double)')} ci_low, {r6('quantile_cont(delta, (1 - 0.025)::double)')} ci_high,
-      {r6('avg(delta)')} boot_mean from e group by all""",
+    + f""", {ABLATION}, {boot_sql('f1', FAM, SEED + 21, 'f1')}
+    select {FAM}, n_resamples, {r6('ci_low')} ci_low, {r6('ci_high')} ci_high, {r6('boot_mean')} boot_mean from f1""",
 )
 def poisson_bootstrap_f1(spark, sf):
     counts, _ = _counts(spark, sf)
     fam = FAM.split(", ")
-    sums = S.resampled_sums(C._full_against(counts, "pooled"), fam, B, SEED, ["dataset"], "poisson")
+    sums = S.resampled_sums(C._full_against(counts, "pooled"), fam, B, SEED + 21, ["dataset"], "poisson")
     out = S.summarise(S.deltas(sums, fam), fam)
     return rounded(out.select(*fam, "n_resamples", "ci_low", "ci_high", "boot_mean"))
 
