@@ -14,9 +14,10 @@ Counts and first places combine before the shuffle, so a passage that very many
 hot key there; the join that brings the first places back is left to adaptive skew splitting. Only runs
 that repeat come back, merged to ranges of pieces for each document.
 
-Defined results: a null text stays null and an empty one empty; rows with the same id count as one
-document and are cut alike; a null id sorts last and rows without an id count as one document; an empty
-table stays empty; other columns pass through.
+Defined results: a null text stays null and an empty one empty; a document is its id and its text, so
+rows equal in both are cut alike and an id that stands on several texts (or a null id) cuts each of them
+by itself; a null id sorts last, and of one id's texts the order is that of their hashes; texts of any
+length are whole; an empty table stays empty; other columns pass through.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\f\v"))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_RUNS = "doc long, first int, last int, again boolean, h1 long, h2 long"
+_RUNS = "doc long, th long, first int, last int, again boolean, h1 long, h2 long"
 
 
 def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -104,22 +105,23 @@ def _all_runs(min_words: int):
 
     def run(batches):
         for batch in batches:
-            doc, first, last, again, h1, h2 = [], [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            doc, th, first, last, again, h1, h2 = [], [], [], [], [], [], []
+            for i, own, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 seen = {}
                 for a, b, h in runs_of(text, min_words):
                     again.append(seen.setdefault(h, a) != a)  # repeats an earlier place of its own text
-                    doc.append(i), first.append(a), last.append(b), h1.append(h >> 64), h2.append(h & low)
+                    doc.append(i), th.append(own), first.append(a), last.append(b), h1.append(h >> 64), h2.append(h & low)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc, pa.int64()),
+                    pa.array(th, pa.int64()),
                     pa.array(first, pa.int32()),
                     pa.array(last, pa.int32()),
                     pa.array(again, pa.bool_()),
                     pa.array(np.array(h1, np.uint64).view(np.int64)),
                     pa.array(np.array(h2, np.uint64).view(np.int64)),
                 ],
-                names=["doc", "first", "last", "again", "h1", "h2"],
+                names=["doc", "th", "first", "last", "again", "h1", "h2"],
             )
 
     return run
@@ -128,13 +130,18 @@ def _all_runs(min_words: int):
 _NO_ID = (1 << 63) - 1
 
 
+def _text_hash(text_col: str):
+    return F.xxhash64(F.col(text_col))
+
+
 def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc, ranges``: for each document the ranges of pieces that repeat an earlier place."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text"))
+    """``doc, th, ranges``: for each document (id and hash of the text) the ranges of pieces that repeat an earlier place."""
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), _text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     runs = base.mapInArrow(_all_runs(min_words), _RUNS)
-    seen = runs.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h1", "h2", "low")
-    later = runs.join(seen, ["h1", "h2"], "left").filter("again or doc <> low").select("doc", "first", "last")
-    ranges = later.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    place = F.struct("doc", "th")
+    seen = runs.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("h1", "h2", "low")
+    later = runs.join(seen, ["h1", "h2"], "left").filter(F.col("again") | (place != F.col("low"))).select("doc", "th", "first", "last")
+    ranges = later.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
     # overlapping and touching spans become one range
     def merge(acc, x):
@@ -143,7 +150,7 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int
         return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] + 1 >= x["first"]), grown).otherwise(F.concat(acc, F.array(x)))
 
     empty = F.array().cast("array<struct<first: int, last: int>>")
-    return ranges.select("doc", F.aggregate("spans", empty, merge).alias("ranges"))
+    return ranges.select("doc", "th", F.aggregate("spans", empty, merge).alias("ranges"))
 
 
 _CLOSED = re.compile(r"(?:[.!?][ \t]+|\n)\Z")
@@ -168,12 +175,12 @@ def _cut_udf():
 
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` without the pieces of repeated spans; ``counts`` names columns for sentences and those cut, whole or in part."""
-    own_id, own_ranges, cut = fresh(docs, "range_doc", "ranges", "cut")
-    ranges = written(repeated_ranges(docs, id_col, text_col, min_words), "ranges").select(F.col("doc").alias(own_id), F.col("ranges").alias(own_ranges))
-    size = ranges.agg(F.coalesce(F.sum(F.size(own_ranges) * 16 + 64), F.lit(0))).first()[0]
+    own_id, own_th, own_ranges, cut = fresh(docs, "range_doc", "range_th", "ranges", "cut")
+    ranges = written(repeated_ranges(docs, id_col, text_col, min_words), "ranges").select(F.col("doc").alias(own_id), F.col("th").alias(own_th), F.col("ranges").alias(own_ranges))
+    size = ranges.agg(F.coalesce(F.sum(F.size(own_ranges) * 16 + 72), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         ranges = F.broadcast(ranges)
-    out = docs.join(ranges, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col(own_id), "left")
+    out = docs.join(ranges, (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col(own_id)) & (_text_hash(text_col) == F.col(own_th)), "left")
     out = out.withColumn(cut, _cut_udf()(F.col(text_col), F.col(own_ranges))).withColumn(text_col, F.col(f"{cut}.text"))
     extra = [F.col(f"{cut}.sentences").alias(counts[0]), F.col(f"{cut}.removed").alias(counts[1])] if counts else []
     return out.select(*docs.columns, *extra)
