@@ -2,8 +2,9 @@
 
 ``calls`` has ``conv_id, turn, call_id, name, arguments, after`` (``after``: the id of one earlier call
 whose result this one needs, or null), ``results`` has ``conv_id, turn, call_id, content``. Calls and
-results are joined by identifier; of several calls with one identifier the earliest (conversation, turn,
-name, arguments) counts and the others are ``duplicate``, the same for results.
+results are joined by conversation and identifier, since identifiers start again in every conversation;
+of several calls with one identifier the earliest (turn, name, arguments) counts and the others are
+``duplicate``, the same for results.
 
 Topological order: a call without a known predecessor has level 0, a result comes one level after its
 call, a call one level after the result it needs. Levels come from pointer doubling, so a chain of n calls
@@ -16,8 +17,8 @@ own, ordered by (level, turn, kind, call_id) within its conversation, so a very
 never gathered in one task. Messages (turns of any role with their whole text) have no level and take
 their place by turn.
 
-Defined results: null arguments are malformed; a null identifier links with nothing; a null content is an
-empty string; repeated rows are duplicates; orphan results have level null; empty tables give empty
+Defined results: null arguments are malformed; a null identifier links with nothing; rows with a null
+``conv_id`` are one conversation; a null content is an empty string; texts of any length stay whole; repeated rows are duplicates; orphan results have level null; empty tables give empty
 results; only the named columns are read.
 """
 
@@ -113,19 +114,24 @@ def _json_udf():
 
 
 def _first(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``extra``: whether an earlier row has the same identifier.
+    """``rows`` with ``extra``: whether an earlier row has the same ``key``.
 
     The smallest row of each identifier is found by a minimum, which combines before the shuffle; rows
     equal in every ordered column are told apart by a number that counts them.
     """
     key = F.struct(*order)
     numbered = written(rows.withColumn("row_no", F.monotonically_increasing_id()), "events")
-    low = numbered.filter("call_id is not null").groupBy("call_id").agg(F.min(F.struct(key.alias("k"), "row_no")).alias("low"))
-    low = low.select(F.col("call_id").alias("low_id"), F.col("low.row_no").alias("low_no"))
-    joined = numbered.join(low, numbered["call_id"] == F.col("low_id"), "left")
+    low = numbered.filter("key is not null").groupBy("key").agg(F.min(F.struct(key.alias("k"), "row_no")).alias("low"))
+    low = low.select(F.col("key").alias("low_id"), F.col("low.row_no").alias("low_no"))
+    joined = numbered.join(low, numbered["key"] == F.col("low_id"), "left")
     return joined.withColumn("extra", F.coalesce(F.col("row_no") != F.col("low_no"), F.lit(False))).drop("low_id", "low_no")
 
 
+def _key(call_id: str) -> Column:
+    """An identifier within its conversation; null for a null identifier."""
+    return F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.lit(":"), F.col(call_id))
+
+
 def levels(links: DataFrame) -> DataFrame:
     """``node, depth`` for rows ``node, parent`` with unique nodes; depth null on or behind a cycle.
 
@@ -153,16 +159,17 @@ def levels(links: DataFrame) -> DataFrame:
 
 def linked_events(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """``conv_id, kind, turn, call_id, level, status, problems, json`` of every call and result."""
-    calls = _first(calls.select("conv_id", "turn", "call_id", "name", "arguments", "after"), ["conv_id", "turn", "name", "arguments"])
-    results = _first(results.select("conv_id", "turn", "call_id", "content"), ["conv_id", "turn", "content"])
-    own = written(calls.filter("not extra and call_id is not null").select(F.col("call_id").alias("node"), F.col("after").alias("parent")), "calls")
+    calls = calls.select("conv_id", "turn", _key("call_id").alias("key"), "call_id", "name", "arguments", _key("after").alias("after"))
+    calls = _first(calls, ["turn", "name", "arguments"])
+    results = _first(results.select("conv_id", "turn", _key("call_id").alias("key"), "call_id", "content"), ["turn", "content"])
+    own = written(calls.filter("not extra and key is not null").select(F.col("key").alias("node"), F.col("after").alias("parent")), "calls")
     # a parent needs a result, so each step down is a call and a result
-    answered = results.filter("not extra and call_id is not null").select(F.col("call_id").alias("answered_id"))
+    answered = results.filter("not extra and key is not null").select(F.col("key").alias("answered_id"))
     depth = written(levels(own.select("node", F.coalesce("parent", F.lit("")).alias("parent"))), "levels").select(F.col("node").alias("id"), (2 * F.col("depth")).alias("level"))
     depth = depth.join(answered, depth["id"] == F.col("answered_id"), "left").select("id", "level", F.col("answered_id").isNotNull().alias("has_result"))
     parents = own.select(F.col("node").alias("parent_id"))
 
-    c = calls.join(depth, (calls["call_id"] == F.col("id")) & ~F.col("extra"), "left").join(parents, calls["after"] == F.col("parent_id"), "left")
+    c = calls.join(depth, (calls["key"] == F.col("id")) & ~F.col("extra"), "left").join(parents, calls["after"] == F.col("parent_id"), "left")
     c = c.withColumn("checked", _arguments_udf(schemas)("name", "arguments"))
     cycle = F.col("id").isNotNull() & F.col("level").isNull()
     more = F.array_compact(F.array(F.when(cycle, F.lit("cycle")), F.when(F.col("after").isNotNull() & F.col("parent_id").isNull(), F.lit("unknown predecessor"))))
@@ -170,7 +177,7 @@ def linked_events(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS)
     none = F.lit(None).cast("string")
     c = c.select("conv_id", F.lit("call").alias("kind"), "turn", "call_id", "level", status.alias("status"), F.sort_array(F.concat("checked.problems", more)).alias("problems"), "name", F.col("checked.text").alias("arguments"), none.alias("content"))
 
-    r = results.join(depth.select("id", "level"), results["call_id"] == F.col("id"), "left")
+    r = results.join(depth.select("id", "level"), results["key"] == F.col("id"), "left")
     status = F.when(F.col("extra"), "duplicate").when(F.col("id").isNull(), "orphan").otherwise("linked")
     r = r.select("conv_id", F.lit("result").alias("kind"), "turn", "call_id", F.when(~F.col("extra"), F.col("level") + 1).alias("level"), status.alias("status"), F.array().cast("array<string>").alias("problems"), none.alias("name"), none.alias("arguments"), "content")
     rows = c.union(r).withColumn("json", _json_udf()("kind", "call_id", "name", "arguments", "content"))

@@ -1,6 +1,8 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanlytics.llm import chat as C
 
@@ -52,7 +54,61 @@ def test_linking(spark):
         assert json.dumps(json.loads(r["json"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r["json"]
 
 
-def test_empty_tables(spark):
+def plain_links(calls, results):
+    """Status and level of every row, one conversation after the other."""
+    def firsts(rows, order):
+        best = {}
+        for k, r in enumerate(rows):
+            if r[2] is not None:
+                best.setdefault((r[0], r[2]), []).append((tuple((x is not None, x if x is not None else "") for x in order(r)), k))
+        return {k: min(v)[1] for k, v in best.items()}
+
+    own, back = firsts(calls, lambda r: (r[1], r[3], r[4])), firsts(results, lambda r: (r[1], r[3]))
+
+    def level(conv, call_id, seen=()):
+        if (conv, call_id) in seen:
+            return None
+        after = calls[own[conv, call_id]][5]
+        if after is None or (conv, after) not in own:
+            return 0
+        up = level(conv, after, (*seen, (conv, call_id)))
+        return None if up is None else up + 2
+
+    out = []
+    for k, r in enumerate(calls):
+        first = r[2] is not None and own[r[0], r[2]] == k
+        status = "unanswered" if r[2] is None or first else "duplicate"
+        out.append(("call", r[0], r[1], r[2], level(r[0], r[2]) if first else None, "linked" if first and (r[0], r[2]) in back else status))
+    for k, r in enumerate(results):
+        first = r[2] is not None and back[r[0], r[2]] == k
+        if r[2] is not None and not first:
+            out.append(("result", r[0], r[1], r[2], None, "duplicate"))
+        elif r[2] is None or (r[0], r[2]) not in own:
+            out.append(("result", r[0], r[1], r[2], None, "orphan"))
+        else:
+            up = level(r[0], r[2])
+            out.append(("result", r[0], r[1], r[2], None if up is None else up + 1, "linked"))
+    return sorted(out, key=str)
+
+
+def test_identifiers_hold_within_their_conversation(spark):
+    """Identifiers that start again, null conversations, clashing extra columns and a very long text, by brute force."""
+    rng = random.Random(4)
+    name = lambda: rng.choice(["call_1", "call_2", "call_3", "1", None])
+    conv = lambda: rng.choice([1, 2, 11, -1, None])
+    calls = [(conv(), t, name(), "search", '{"query":"q%d"}' % rng.randrange(3), name()) for t in range(120)]
+    results = [(conv(), t, name(), rng.choice(["one", "two", None])) for t in range(120)] + [(1, 500, "call_1", "long " * 100_000)]
+    extra = lambda df: df.withColumn("key", F.lit("mine")).withColumn("extra", F.lit(0)).withColumn("row_no", F.lit(1))
+    got = C.linked_events(extra(spark.createDataFrame(calls, CALLS)), extra(spark.createDataFrame(results, RESULTS))).collect()
+    assert sorted(((r["kind"], r["conv_id"], r["turn"], r["call_id"], r["level"], r["status"]) for r in got), key=str) == plain_links(calls, results)
+    two = [(1, 1, "call_1", "search", '{"query":"a"}', None), (2, 1, "call_1", "search", '{"query":"b"}', None)]
+    both = C.linked_events(spark.createDataFrame(two, CALLS), spark.createDataFrame([(1, 2, "call_1", "x"), (2, 2, "call_1", "y")], RESULTS))
+    assert {r["status"] for r in both.collect()} == {"linked"}
+
+
+def test_empty_tables(spark, table_dir):
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert C.op6_chat_tool_links(spark, table_dir(conversations=turns)).count() == 0
     assert C.linked_events(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)).count() == 0
 
 
