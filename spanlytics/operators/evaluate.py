@@ -248,10 +248,11 @@ def review_counts_wide(scores: Scores, tau: float = PRIMARY_TAU) -> DataFrame:
     return per_label.groupBy(*keys).agg(*cells)
 
 
-def label_metrics(counts: DataFrame, keys: list[str], taus) -> DataFrame:
+def label_metrics(counts: DataFrame, keys: list[str], taus, pooled: bool = False) -> DataFrame:
     """Per-label counters and metrics; rejected and illegal spans belong to no label.
 
-    ``counts`` holds counters per (keys, label); labels without any span get zero rows.
+    ``counts`` holds counters per (keys, label); labels without any span get zero rows. With ``pooled`` the
+    same aggregate also gives rows of ``dataset='pooled'``, summed over datasets where there are several.
     """
     tp_cols = [tp_name(t) for t in taus]
     used = ["n_units", "n_correct", "n_scored", *tp_cols]
@@ -261,7 +262,14 @@ def label_metrics(counts: DataFrame, keys: list[str], taus) -> DataFrame:
         *[F.lit(0).cast("bigint").alias(c) for c in used],
     )
     full = counts.filter(F.col("label").isin(LABELS)).select(*keys, "label", *used).unionByName(domain)
-    full = full.groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in used])
+    sums = [F.sum(c).alias(c) for c in used]
+    if pooled:
+        sets = [[*keys, "label"], [*[k for k in keys if k != "dataset"], "label"]]
+        both = full.withColumn("_of", F.col("dataset")).groupingSets([[F.col(c) for c in s] for s in sets], *keys, "label")
+        full = both.agg(*sums, F.grouping("dataset").alias("_all"), F.countDistinct("_of").alias("_datasets"))
+        full = full.filter("_all = 0 or _datasets >= 2").withColumn("dataset", F.when(F.col("_all") == 1, F.lit("pooled")).otherwise(F.col("dataset")))
+    else:
+        full = full.groupBy(*keys, "label").agg(*sums)
     arr = F.array(*[F.struct(F.lit(t).alias("tau"), F.col(tp_name(t)).alias("tp")) for t in taus])
     rows = full.select(*keys, "label", "n_units", "n_correct", "n_scored", F.inline(arr))
     return with_prf(

@@ -418,13 +418,16 @@ def full_metrics_table(spark, sf):
 
 @query(
     "per_label_table",
-    scored() + f""", {PER_LABEL}, s as (select dataset, backend, label, sum(n_units)::bigint n_units, sum(n_correct)::bigint n_correct, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn
-      from labsum where tau = 0.5 and config_id = 'F' group by all)
+    scored() + f""", {PER_LABEL}, every as (select {K}, tau, label, n_units, n_correct, tp, fp, fn from labsum
+      union all select 'pooled', backend, config_id, run, round, tau, label, sum(n_units), sum(n_correct), sum(tp), sum(fp), sum(fn) from labsum
+      group by backend, config_id, run, round, tau, label having count(distinct dataset) >= 2),
+      s as (select dataset, backend, label, sum(n_units)::bigint n_units, sum(n_correct)::bigint n_correct, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn
+      from every where tau = 0.5 and config_id = 'F' group by all)
       select dataset, backend, label, list_position({LABEL_LIST}, label) - 1 label_order, n_units units, {METRICS} from s""",
 )
 def per_label_table(spark, sf):
     counts = scores(spark, sf).counts(KEYS, [0.5])
-    return rounded(R.per_label_table(E.label_metrics(counts, KEYS, [0.5])))
+    return rounded(R.per_label_table(E.label_metrics(counts, KEYS, [0.5], pooled=True)))
 
 
 @query(
