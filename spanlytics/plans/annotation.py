@@ -233,12 +233,10 @@ def lexicon_labels(spark, sf):
     from spanlytics.functions.text import sentence_offsets
 
     cut = D.reviews(spark, sf).select("review_id", "text", sentence_offsets("text").alias("o"))
-    sents = cut.select(
-        "review_id",
-        F.explode(F.array(F.transform(F.arrays_zip("o.s", "o.e"), lambda b: slice_text("text", b["s"], b["e"])))).alias("sents"),
-    )
-    labelled = sents.select("review_id", F.posexplode(F.arrays_zip("sents", I.lexicon_labels("sents").alias("label"))).alias("k", "x"))
-    return labelled.filter((F.col("x.label") != NONE) & (F.length("x.sents") >= 12)).select("review_id", "k", "x.label")
+    sents = cut.select("review_id", F.posexplode(F.transform(F.arrays_zip("o.s", "o.e"), lambda b: slice_text("text", b["s"], b["e"]))).alias("k", "sent"))
+    # only the flags and the length travel
+    flags = sents.select("review_id", "k", F.length("sent").alias("n"), *[c.alias(name) for name, c in I.cue_flags("sent").items()])
+    return I.lexicon_labels(flags).filter((F.col("label") != NONE) & (F.col("n") >= 12)).select("review_id", "k", "label")
 
 
 @query(
