@@ -22,10 +22,9 @@ ignored. Texts of any length are read whole.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,51 +49,81 @@ STATS = (
 _FEATURES = "row long, label int, stats array<double>, at array<int>, x array<double>"
 
 
+class _Kinds(dict):
+    """Translation of characters to ``A``, ``a``, ``9`` or, for others, what ``other`` gives."""
+
+    def __init__(self, other):
+        self.other = other
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        out = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else self.other(c)
+        return out
+
+
+_SHAPE = _Kinds(lambda c: c)
+_KIND = _Kinds(lambda c: "." if c in ".,;:!?'\"()-" else "#")
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
 def _shape(word: str) -> str:
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
-    return "".join(k for k, _ in groupby(kinds))[:8]
+    return _RUN.sub(r"\1", word.translate(_SHAPE))[:8]
 
 
 class _Words(dict):
-    """What counts of each distinct word: hashes of word and shape, characters by kind."""
+    """Number of each distinct word; its row of ``table`` holds what counts of it."""
+
+    def __init__(self):
+        self.table = np.zeros((1 << 12, 10), np.int64)
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        if number == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        kind = word.translate(_KIND)
+        capitals = kind.count("A")
+        self.table[number] = (
+            zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS, WORDS + zlib.crc32(_shape(word).encode("utf-8", "surrogatepass")) % SHAPES, len(word),
+            capitals + kind.count("a"), capitals, kind.count("9"), kind.count("#"), kind.count("."), word.count("!"), len(word) <= 3,
+        )
+        return number
 
-    def __missing__(self, word: str):
-        if len(self) >= KEPT_WORDS:
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self) > KEPT_WORDS:
             self.clear()
-        kinds = Counter("capital" if c.isupper() else "letter" if c.isalpha() else "digit" if c.isdigit() else "point" if c in ".,;:!?'\"()-" else "symbol" for c in word)
-        own = self[word] = (
-            zlib.crc32(word.lower().encode()) % WORDS, WORDS + zlib.crc32(_shape(word).encode()) % SHAPES, len(word),
-            kinds["letter"] + kinds["capital"], kinds["capital"], kinds["digit"], kinds["symbol"], kinds["point"], word.count("!"), int(len(word) <= 3),
-        )
-        return own
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 _KNOWN = _Words()
 
 
 def vector_of(text: str | None, declared: int | None) -> tuple[list[float], np.ndarray, np.ndarray]:
-    """Statistics, places and values of the hashed blocks (places rise)."""
+    """Statistics, places and values of the hashed blocks."""
     text = text or ""
     words = text.split()
-    counts = Counter(words)
+    numbers = _KNOWN.numbers(words)
+    distinct, times = np.unique(numbers, return_counts=True)
+    about = _KNOWN.table[distinct]
     n = max(len(words), 1)
     lines = [x for x in map(str.strip, text.split("\n")) if x]
-    runs = set(zip(words, words[1:], words[2:], words[3:]))
-    about = np.array([_KNOWN[w] for w in counts], np.int64).reshape(-1, 10)
-    times = np.fromiter(counts.values(), np.int64, len(counts))
+    runs = numbers[: len(numbers) - 3].astype(np.uint64)
+    for k in range(1, 4 if len(numbers) > 3 else 1):
+        with np.errstate(over="ignore"):
+            runs = runs * np.uint64(0x9E3779B97F4A7C15) + numbers[k : len(numbers) - 3 + k].astype(np.uint64)
     length, letters, capitals, digits, symbols, points, shouts, short = (times @ about[:, 2:]).tolist()
     chars = max(length, 1)
     gap = float("nan") if declared is None else abs(declared - len(text))
     stats = [
-        np.log1p(len(words)), length / n, letters / chars, capitals / chars, digits / chars, symbols / n, points / n, shouts / n, len(counts) / n,
-        1 - len(runs) / max(len(words) - 3, 1) if runs else 0.0, 1 - len(set(lines)) / max(len(lines), 1), n / max(len(lines), 1), np.log1p(len(lines)),
+        np.log1p(len(words)), length / n, letters / chars, capitals / chars, digits / chars, symbols / n, points / n, shouts / n, len(distinct) / n,
+        1 - len(np.unique(runs)) / len(runs) if len(words) > 3 else 0.0, 1 - len(set(lines)) / max(len(lines), 1), n / max(len(lines), 1), np.log1p(len(lines)),
         sum(x[-1] in ".!?\"'”»)" for x in lines) / max(len(lines), 1), short / n, float("nan") if declared is None else np.log1p(max(declared, 0)), np.log1p(gap),
     ]
     places, values = [], []
-    for column in (0, 1):
-        at, back = np.unique(about[:, column], return_inverse=True)
-        x = np.log1p(np.bincount(back, times, len(at)))
-        places.append(at)
+    for column, first, size in ((0, 0, WORDS), (1, WORDS, SHAPES)):
+        sums = np.bincount(about[:, column] - first, times, size)
+        at = np.flatnonzero(sums)
+        x = np.log1p(sums[at])
+        places.append(at + first)
         values.append(x / (np.sqrt(x @ x) or 1.0))
     return [float(s) for s in stats], np.concatenate(places), np.concatenate(values)
 
