@@ -1,8 +1,9 @@
 """Rank statistics on distributed data.
 
 Ranks need a running count over all values. Equal values are counted first; the distinct values are
-cut into ranges by approximate quantiles, counted within each range in parallel, and shifted by the
-totals of the ranges before. No step sorts a whole column in one task.
+dealt out by range, counted within each range in parallel, and shifted by the totals of the ranges
+before. Percentiles are exact order statistics, found by counting in a histogram of the values and
+looking closer at the bin that holds the wanted place. No step sorts a whole column in one task.
 """
 
 from __future__ import annotations
@@ -13,19 +14,20 @@ from pyspark.sql.window import Window
 from spanlytics.functions.core import stable_hash
 from spanlytics.functions.tails import chi2_sf, normal_p, student_p
 from spanlytics.operators.significance import benjamini_hochberg
+from spanlytics.session import materialize, task_count
 
-RANGES = 128
+#: Bins of one histogram of the search for an order statistic.
+BINS = 256
+GREATEST = 1.7976931348623157e308
 
 
-def cumulative_counts(counted: DataFrame, by: list[str], value: str = "v", n: str = "n", ranges: int = RANGES) -> DataFrame:
-    """Add ``before``: the sum of ``n`` over smaller values within ``by``. One row per (by, value)."""
-    if not by:
-        return cumulative_counts(counted.withColumn("_all", F.lit(0)), ["_all"], value, n, ranges).drop("_all")
-    points = [F.lit(i / ranges) for i in range(1, ranges)]
-    cuts = counted.groupBy(*by).agg(F.percentile_approx(value, F.array(*points), F.lit(2000)).alias("_cuts"))
-    placed = counted.join(cuts, by).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+def cumulative_counts(counted: DataFrame, by: list[str], value: str = "v", n: str = "n") -> DataFrame:
+    """Add ``before``: the sum of ``n`` over smaller values within ``by``. One row per (by, value).
+
+    There are as many ranges as tasks of a shuffle. The ranges are written once, so that both readers see the same.
+    """
+    tasks = task_count(counted.sparkSession)
+    placed = materialize(counted.repartitionByRange(tasks, *by, value).withColumn("_range", F.spark_partition_id()))
     here = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.coalesce(F.sum(n).over(here), F.lit(0)))
     totals = placed.groupBy(*by, "_range").agg(F.sum(n).alias("_sum"))
@@ -36,6 +38,52 @@ def cumulative_counts(counted: DataFrame, by: list[str], value: str = "v", n: st
     )
 
 
+def order_statistics(values: DataFrame, wanted: DataFrame, by: list[str], bins: int = BINS) -> DataFrame:
+    """``wanted`` (by, ``place`` from 0, ``lo``, ``hi``, the least and greatest value) with ``value``, the exact order statistic.
+
+    Every pass counts the values between ``lo`` and ``hi`` in equal bins and goes on in the bin that holds
+    the place, between its own least and greatest value, until these are one. A task keeps one counter for
+    each bin and place, whatever the number of values.
+    """
+    state, done = materialize(wanted.withColumn("_before", F.lit(0).cast("bigint"))), None
+    while True:
+        found = state.filter("lo = hi").select(*by, "place", F.col("lo").alias("value"))
+        done = found if done is None else done.unionByName(found)
+        open_ = state.filter("lo < hi")
+        if open_.isEmpty():
+            return done
+        wide = (F.col("hi") - F.col("lo")) > F.lit(GREATEST)  # a difference beyond the range of doubles is taken in halves
+        share = F.when(wide, (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)).otherwise((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+        bin_ = F.least(F.floor(share * bins), F.lit(bins - 1))
+        near = values.join(open_, by) if by else values.join(F.broadcast(open_.withColumn("_all", F.lit(0))), F.lit(0) == F.col("_all")).drop("_all")  # a row for each place
+        counted = near.filter("v between lo and hi").groupBy(*by, "place", "_before", bin_.alias("_bin")).agg(
+            F.count("*").alias("_n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        )
+        up = Window.partitionBy(*by, "place").orderBy("_bin")
+        reached = counted.withColumn("_upto", F.col("_before") + F.sum("_n").over(up))
+        here = reached.filter((F.col("place") < F.col("_upto")) & (F.col("place") >= F.col("_upto") - F.col("_n")))
+        state = materialize(here.select(*by, "place", "lo", "hi", (F.col("_upto") - F.col("_n")).alias("_before")))
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Exact percentiles (linear between neighbours) of the values of each group: by, ``share``, ``value``.
+
+    NULL and NaN count as missing, infinite values as the greatest finite ones.
+    """
+    v = F.greatest(F.least(F.col(value).cast("double"), F.lit(GREATEST)), F.lit(-GREATEST))
+    values = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, v.alias("v"))
+    size = values.groupBy(*by).agg(F.count("*").alias("_n"), F.min("v").alias("lo"), F.max("v").alias("hi")).filter("_n > 0")
+    size = materialize(size.select("*", F.explode(F.array(*[F.lit(float(q)) for q in shares])).alias("share")))
+    at = F.col("share") * (F.col("_n") - 1)
+    places = size.select("*", F.floor(at).alias("_low"), F.ceil(at).alias("_high"), (at - F.floor(at)).alias("_part"))
+    wanted = places.select(*by, F.explode(F.array("_low", "_high")).alias("place"), "lo", "hi").distinct()
+    found = order_statistics(values, wanted, by)
+    low = found.select(*by, F.col("place").alias("_low"), F.col("value").alias("_v"))
+    high = found.select(*by, F.col("place").alias("_high"), F.col("value").alias("_w"))
+    both = places.join(low, [*by, "_low"]).join(high, [*by, "_high"])
+    return both.select(*by, "share", (F.col("_v") + (F.col("_w") - F.col("_v")) * F.col("_part")).alias("value"))
+
+
 def ranked_values(df: DataFrame, by: list[str], value: str, extra: dict | None = None) -> DataFrame:
     """Distinct values with their count, average rank and any extra per-value counts."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(
@@ -90,12 +138,12 @@ def mann_whitney(df: DataFrame, by: list[str], value: str, first) -> DataFrame:
 
 def top_decile_test(df: DataFrame, features: list[str], y: str = "citations", top: float = 0.10) -> DataFrame:
     """Values of each feature in the top citation decile against the rest."""
-    cut = df.agg(F.percentile(y, F.lit(1 - top)).alias("cut")).withColumn("_one", F.lit(1))
+    cut = percentiles(df, [], y, [1 - top]).select(F.col("value").alias("cut"), F.lit(1).alias("_one"))
     marked = df.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one")  # one row
     rows = unpivot(marked.withColumn("top", F.col(y) >= F.col("cut")), ["top"], features)
-    medians = rows.groupBy("feature").agg(
-        F.median(F.when(F.col("top"), F.col("x"))).alias("median_top"),
-        F.median(F.when(~F.col("top"), F.col("x"))).alias("median_rest"),
+    rows = materialize(rows)
+    medians = percentiles(rows, ["feature", "top"], "x", [0.5]).groupBy("feature").agg(
+        F.max(F.when(F.col("top"), F.col("value"))).alias("median_top"), F.max(F.when(~F.col("top"), F.col("value"))).alias("median_rest")
     )
     tests = mann_whitney(rows, ["feature"], "x", F.col("top"))
     return (

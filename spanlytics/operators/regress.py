@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanlytics.functions.core import stable_hash
 from spanlytics.functions.tails import normal_quantile, normal_two_sided, student_quantile, student_two_sided
+from spanlytics.operators.ranks import percentiles
 
 MAX_LEVELS = 500
 TAUS = (0.25, 0.5, 0.75, 0.9)
@@ -161,10 +162,13 @@ def quantile_regression(
         beta = fresh
         if moved < tol:
             break
-    spread = rows.select("y", *[(F.col("y") - F.aggregate(F.zip_with("x", F.array(*[F.lit(float(c)) for c in b]), lambda u, v: u * v), F.lit(0.0), lambda a, v: a + v)).alias(f"r{i}") for i, b in enumerate(beta)]).agg(
-        F.stddev_pop("y").alias("sd"),
-        *[F.percentile(f"r{i}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i in range(k)],
-    ).first()
+    def fitted(b):
+        return F.aggregate(F.zip_with("x", F.array(*[F.lit(float(c)) for c in b]), lambda u, v: u * v), F.lit(0.0), lambda a, v: a + v)
+
+    residuals = F.array(*[F.struct(F.lit(i).alias("i"), (F.col("y") - fitted(b)).alias("r")) for i, b in enumerate(beta)])
+    quartiles = percentiles(rows.select(F.inline(residuals)), ["i"], "r", [0.25, 0.75])
+    iqrs = {r["i"]: r["iqr"] for r in quartiles.groupBy("i").agg((F.max("value") - F.min("value")).alias("iqr")).collect()}  # a row for each quantile
+    sd = rows.agg(F.stddev_pop("y")).first()[0]
     z = normal_quantile(0.975)
     widths = []
     for i, t in enumerate(taus):
@@ -172,8 +176,7 @@ def quantile_regression(
         density = math.exp(-q * q / 2) / math.sqrt(2 * math.pi)
         h = n ** (-1 / 3) * z ** (2 / 3) * (1.5 * density**2 / (2 * q * q + 1)) ** (1 / 3)
         low, high = max(t - h, 1e-6), min(t + h, 1 - 1e-6)
-        iqr = spread[f"q{i}"][1] - spread[f"q{i}"][0]
-        widths.append(max(min(spread["sd"], iqr / 1.34) * (normal_quantile(high) - normal_quantile(low)), 1e-9))
+        widths.append(max(min(sd, iqrs[i] / 1.34) * (normal_quantile(high) - normal_quantile(low)), 1e-9))
 
     def kernel(x, yy):
         out = []

@@ -298,7 +298,7 @@ def kmeans_profiles(spark, sf):
 
 @query("elastic_net_cv")
 def elastic_net_cv(spark, sf):
-    return rounded(RG.penalised_regression(materialize(_analysis(spark, sf)), FE.FULL, "citations", "article_id", n_alphas=30))
+    return rounded(RG.penalised_regression(materialize(_analysis(spark, sf)), FE.FULL, "citations", "article_id"))
 
 
 def _capped(spark, sf):
@@ -312,4 +312,4 @@ def nb_regression(spark, sf):
 
 @query("quantile_regression")
 def quantile_regression(spark, sf):
-    return rounded(RG.quantile_regression(_capped(spark, sf), FE.CORE, "citations_w", max_iter=25), 4)
+    return rounded(RG.quantile_regression(_capped(spark, sf), FE.CORE, "citations_w"), 4)
