@@ -208,6 +208,28 @@ def validation_issues(spark, sf):
     return issues.groupBy("code", "blocking").agg(F.count("*").alias("n"))
 
 
+@query(
+    "validation_feedback",
+    spans_prefix(f"blank as (select review_id, list(g_idx order by g_idx) filter ({h("'em'", 'review_id', 'g_idx')} % 5 = 0) l from gold group by all)")
+    + """ select r.review_id, coalesce(len(l), 0) n_empty, case when coalesce(len(l), 0) = 0 then '- unspecified validation failure' else
+      array_to_string(list_transform(l[1:8], lambda x: '- annotation ' || x || ' has an empty <text>'), chr(10))
+      || case when len(l) > 8 then chr(10) || '- ... and ' || (len(l) - 8) || ' further issues' else '' end end feedback
+    from reviews r left join blank using (review_id)""",
+)
+def validation_feedback(spark, sf):
+    """Answers in which the text of some annotations is blank: counted, reported, and told to the model."""
+    r = D.reviews_with_spans(spark, sf)
+
+    def block(s, i):
+        text = F.when(stable_hash(F.lit("em"), "review_id", i) % 5 == 0, F.lit("  ")).otherwise(slice_text("text", s["start"], s["end"]))
+        return F.concat(F.lit("<annotation><text>"), text, F.lit("</text><label>"), s["label"], F.lit("_1</label></annotation>\n"))
+
+    raw = F.concat(F.lit("<annotations>\n"), F.array_join(F.transform("spans", block), ""), F.lit("</annotations>"))
+    parsed = V.parse_responses(r.select("review_id", raw.alias("raw")))
+    v = V.validate(A.align_responses(parsed, D.reviews(spark, sf), "exact", tokens=False, counts=False))
+    return v.select("review_id", "n_empty", V.feedback().alias("feedback"))
+
+
 # ----------------------------------------------------------------------- batch inference
 
 
@@ -358,5 +380,5 @@ def sentence_classifier(spark, sf):
     labelled = U.label_sentences(sents, D.gold(spark, sf)).select("review_id", "k", "label")
     full = materialize(U.sentences(docs).join(labelled, ["review_id", "k"]))
     split = U.grouped_split(full, "review_id", 0.2)
-    spans = I.classify_sentences(split.filter(F.col("part") == "train"), split.filter(F.col("part") == "val"), max_iter=5, features=1 << 12)
+    spans = I.classify_sentences(split.filter(F.col("part") == "train"), split.filter(F.col("part") == "val"))
     return spans.groupBy("config_id", "run", "label").agg(F.count("*").alias("n_spans"), F.countDistinct("review_id").alias("n_reviews"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanlytics.functions import text as X
 from spanlytics.functions.core import stable_hash
 from spanlytics.functions.labels import ALIASES, LABELS, canonical_label
+from spanlytics.functions.tokens import token_set
 from spanlytics.operators import units as U
 from spanlytics.operators.align import snap_to_tokens, token_rows, with_token_ranges
 from spanlytics.plans import derived as D
@@ -203,6 +204,14 @@ def clean_text(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", X.sha256_text(X.clean_text("html")).alias("text_sha256"))
 
 
+@query("token_sets", gold_prefix() + " select review_id, g_idx, tj - ts n, list_sum(range(ts, tj))::bigint index_sum from gold")
+def token_sets(spark, sf):
+    """Token indices of every gold span as a set."""
+    sets = D.gold(spark, sf).select("review_id", "g_idx", token_set("ts", "tj").alias("t"))
+    total = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return sets.select("review_id", "g_idx", F.size("t").alias("n"), total.alias("index_sum"))
+
+
 @query("normalized_offsets", spans_prefix() + ' select review_id, g_idx, c_start "start", c_end "end" from spans')
 def normalized_offsets(spark, sf):
     """Gold spans mapped into the normalised text and back."""
