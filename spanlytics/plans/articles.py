@@ -36,10 +36,12 @@ TYPES = ["decision-letter", "referee-report", "reply", "decision-letter", "evalu
 
 def _paragraphs(spark, sf):
     """Lines of the documents as paragraphs of sub-articles of eight lines; some open with a reviewer header."""
-    lines = D.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("article_id"), F.posexplode(F.split("text", "\n")).alias("line", "body")
-    )
-    rows = lines.select("article_id", F.expr("line div 8").alias("sub_idx"), F.expr("line % 8").alias("para_idx"), "body")
+    letter = lambda i: (stable_hash(F.lit("ty"), "article_id", i) % 5).isin(0, 3)
+    parts = D.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), F.split("text", "\n").alias("parts"))
+    subs = F.sequence(F.lit(0).cast("long"), F.floor((F.size("parts") - 1) / 8))
+    # once for each article: which sub-articles are letters
+    lines = parts.select("article_id", F.transform(subs, letter).alias("are_letters"), F.posexplode("parts").alias("line", "body"))
+    rows = lines.select("article_id", F.expr("line div 8").alias("sub_idx"), F.expr("line % 8").alias("para_idx"), "body", "are_letters")
     kind = stable_hash(F.lit("ty"), "article_id", "sub_idx") % 5
     head = stable_hash(F.lit("hd"), "article_id", "sub_idx", "para_idx")
     who = (head % 3 + 1).cast("string")
@@ -49,8 +51,7 @@ def _paragraphs(spark, sf):
         .when(head % 7 == 2, F.concat(F.lit("Thank you for submitting "), F.col("body")))
         .otherwise(F.col("body"))
     )
-    letter = lambda i: (stable_hash(F.lit("ty"), "article_id", i) % 5).isin(0, 3)
-    letters = F.size(F.filter(F.sequence(F.lit(0).cast("long"), F.col("sub_idx").cast("long")), letter))
+    letters = F.size(F.filter(F.slice("are_letters", F.lit(1), (F.col("sub_idx") + 1).cast("int")), lambda x: x))
     return rows.select(
         "article_id", "sub_idx", letters.alias("letters"), F.element_at(F.array(*[F.lit(t) for t in TYPES]), (kind + 1).cast("int")).alias("type"),
         F.concat(F.lit("S"), F.col("sub_idx").cast("string")).alias("sub_id"), "para_idx", text.alias("text"),
