@@ -112,6 +112,33 @@ def run_layout(spark, sf):
     return RUN.read_runs(spark, path, ["en", "de"]).groupBy("dataset", "backend_slug").agg(F.count("*").alias("n"))
 
 
+@query(
+    "record_files",
+    gold_prefix()
+    + """, n as (select r.review_id, r.dataset, count(g_idx) spans, count(g_idx) filter (g_idx % 2 = 0) even
+      from (select doc_id review_id, lang dataset from documents) r left join gold g using (review_id) group by all),
+    every as (select 'x' annotator, 'own' dataset, 'p-' || review_id id, spans, null::varchar split from n
+      union all select 'y', 'own', 'p-' || review_id, even, null::varchar from n
+      union all select 'split', 'test-set', 's-test-' || review_id, spans, 'test' from n)
+    select annotator, dataset, split, count(*) n, sum(spans)::bigint n_spans, min(id) first_id, max(id) last_id from every group by all""",
+)
+def record_files(spark, sf):
+    """Records written in the canonical layout, read back as two annotators and as a named split."""
+    path = f"{shared_folder(spark)}/annotated-{uuid.uuid4().hex}"
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
+    records = D.reviews_with_spans(spark, sf).select(
+        F.col("review_id").cast("string").alias("review_id"), "dataset", "text", spans.alias("spans"), F.create_map().cast("map<string,string>").alias("metadata")
+    )
+    REC.write_records(records, f"{path}/x")
+    REC.write_records(records.withColumn("spans", F.filter("spans", lambda s, i: i % 2 == 0)), f"{path}/y")
+    both = REC.read_annotators(spark, {"y": f"{path}/y", "x": f"{path}/x"}, "own", "p")
+    split = REC.read_split(spark, f"{path}/x", "test-set", "test", "corpus", "s").withColumn("annotator", F.lit("split"))
+    rows = both.unionByName(split.select(*both.columns)).withColumn("split", F.col("metadata")["split"])
+    return rows.groupBy("annotator", "dataset", "split").agg(
+        F.count("*").alias("n"), F.sum(F.size("spans")).alias("n_spans"), F.min("review_id").alias("first_id"), F.max("review_id").alias("last_id")
+    )
+
+
 @query("first_reviews", "select doc_id review_id, lang dataset from documents order by doc_id limit 10")
 def first_reviews(spark, sf):
     return REC.first_reviews(D.reviews(spark, sf).select("review_id", "dataset"), 10)

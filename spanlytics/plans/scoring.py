@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spanlytics.operators import audit as A
@@ -23,7 +25,8 @@ from spanlytics.plans.derived_sql import (
     units_prefix,
 )
 from spanlytics.plans.registry import query, r6, rounded
-from spanlytics.session import materialize
+from spanlytics.session import materialize, shared_folder
+from spanlytics.sources import runs as RUN
 
 GRID = E.TAUS
 
@@ -118,6 +121,27 @@ def span_prf_by_run(spark, sf):
     return rounded(E.with_prf(E.at_taus(counts, KEYS, [0.5])).select(*keep))
 
 
+@query(
+    "runs_to_scores",
+    scored()
+    + f""", {MASTER} select dataset, backend, config_id, run, round, n_units, n_correct, tp, fp, fn, accuracy, "precision", recall, f1
+      from (select *, {METRICS} from (select dataset, backend, config_id, run, round, sum(n_units)::bigint n_units, sum(n_correct)::bigint n_correct,
+        sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn from review_counts where dataset in ('en', 'fr') group by all))""",
+)
+def runs_to_scores(spark, sf):
+    """Runs written in folders by run key, read back for two datasets (other folders are not opened), scored, and the table written and read."""
+    path = f"{shared_folder(spark)}/scored-{uuid.uuid4().hex}"
+    results, pred, gold = D.results(spark, sf), D.pred(spark, sf), D.gold(spark, sf)
+    RUN.write_run(results, f"{path}/results")
+    RUN.write_run(pred, f"{path}/predictions")
+    wanted = ["en", "fr"]
+    done, spans = (RUN.read_runs(spark, f"{path}/{name}", wanted) for name in ("results", "predictions"))
+    s = E.score(done.select(*results.columns), spans.select(*pred.columns), gold)
+    table = E.with_prf(E.at_taus(s.counts(KEYS, [0.5], label=False), KEYS, [0.5]))
+    RUN.write_master({"master": table.select(*KEYS, "n_units", "n_correct", "tp", "fp", "fn", "accuracy", "precision", "recall", "f1")}, path)
+    return rounded(spark.read.parquet(f"{path}/master"))
+
+
 @query(
     "rejected_spans_excluded",
     scored()
