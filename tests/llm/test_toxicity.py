@@ -56,3 +56,34 @@ def test_edge_cases(spark, make_docs, tables):
     assert T.fit(empty).weights == {} and 0 <= T.fit(empty).score("x") <= 1
     one = make_docs([(1, "a")]).withColumn("toxic", F.lit(1))
     assert T.fit(one).score("x") > 0.99
+
+
+def plain_hits(model, text):
+    """Every entry looked for at every place, without an automaton."""
+    folded = T.fold(text)
+    best, spared = {}, []
+    for start in range(len(folded)):
+        for entry, weight in model.weights.items():
+            if folded.startswith(entry, start) and weight > best.get(start, 0.0):
+                best[start] = weight
+        for phrase in model.exceptions:
+            own = T.fold(phrase)
+            if folded.startswith(own, start):
+                spared.append((start, start + len(own) - 1))
+    total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
+    return total, len(folded.split())
+
+
+def test_hits_equal_a_plain_search():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    for _ in range(60):
+        weights = {rng.choice([f" {word()}", f" {word()} "]): rng.uniform(0.5, 6) for _ in range(8)}
+        model = T.ToxicityModel(weights, (0.0, 1.0, 1.0), tuple(f"{word()} {word()}" for _ in range(2)))
+        for text in (" ".join(word() for _ in range(40)), "", None, "A8c C4B! b@a", "x" * 3000):
+            got, want = model.hits(text), plain_hits(model, text)
+            assert got[1] == want[1] and got[0] == pytest.approx(want[0])
+            z = sum(c * f for c, f in zip(model.curve, (1.0, T.math.log1p(want[0]), T.math.log1p(100 * want[0] / max(want[1], 1)))))
+            assert model.score(text) == pytest.approx(1 / (1 + T.math.exp(-z)))
