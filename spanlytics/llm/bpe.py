@@ -32,7 +32,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanlytics.llm.common import query, read, shuffle_partitions
+from spanlytics.llm.common import query, read, released, shuffle_partitions
 
 UNIT_TOKENS = 4_000_000
 CHUNK = 256
@@ -205,7 +205,7 @@ def _positions(held, buckets: int):
                     }
                 )
 
-    return run
+    return released(run)
 
 
 def _word_lists(held, buckets: int):
@@ -217,7 +217,7 @@ def _word_lists(held, buckets: int):
             words = [pack(np.array([len(lists[b]), *map(len, lists[b])], "<u4").tobytes() + b"".join(lists[b])) for b in full]
             yield pa.RecordBatch.from_pydict({"unit": pa.array([name] * len(full)), "bucket": pa.array(full, pa.int32()), "words": pa.array(words, pa.binary())})
 
-    return run
+    return released(run)
 
 
 def _merge(held):
@@ -243,7 +243,7 @@ def _merge(held):
                 merged.append(_packed(np.array([n, *counts, *out])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, pa.binary())], names=["unit", "bucket", "merged"])
 
-    return run
+    return released(run)
 
 
 def _id_lists(merged: pa.Table, size: int) -> list[list[int]]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlytics.session import shared_folder
@@ -43,6 +46,23 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
+def released(run):
+    """A task function whose worker gives the memory it has freed back to the system when a task ends.
+
+    Workers are used again by later stages; what the allocators keep would add up in one executor.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
