@@ -21,15 +21,19 @@ region:
    region each set meets its closest partner of another component, components merge, and the region
    is joined again until no partner is left; then the cells are joined once for pairs across regions.
 
+5. *Counts.* Links of two sets of one component already known are not listed one by one. They are counted
+   at the end: every link lies inside a component, so the sets of a component are cut into blocks bounded by
+   sets and n-grams, and the sizes of all intersections of a block pair come from one product of their
+   incidence matrices. Copies count with their set. This is quadratic in the different sets of a component.
+
 The order only steers the work; any order gives the same links. The frequent n-grams come from counts
 over all documents; the list is cut to ``HOT`` entries, which bounds what is broadcast and loses
-nothing. Links that join two sets of one component already known are not listed one by one.
+nothing.
 
 Defined results: a document without words (null, empty, blank text) has an empty set and links with
 nothing, not even with its like; fewer than n words form one n-gram; repeated rows link with each
-other; a row with a null id joins the component of an equal set only, and a null id is a component id
-only where there is no other; empty
-tables give empty results; only the id and the text column are read.
+other; a row with a null id links like any other, and a null id is a component id only where there is
+no other; empty tables give empty results; only the id and the text column are read.
 """
 
 from __future__ import annotations
@@ -52,12 +56,18 @@ REPORT = 3
 COARSE, FINE = 1, 4
 #: Sets of a cell that one task compares with each other.
 BLOCK = 2000
+#: N-grams of the sets of a block when links are counted, and holders from which one is a column of the matrix.
+BLOCK_GRAMS, DENSE = 1 << 20, 16
+#: Stands for a null id where texts are looked up; the hash of the text tells it from an equal id.
+NO_ID = (1 << 63) - 1
 #: Sets compared with one pivot in one group of rows.
 STAR = 500
 #: Sets this similar (percent) to a common pivot are joined in one region.
 FAMILY = 30
 #: Sets that share this part (percent) of their cells with a pivot are compared with it for that.
 SHARED = 15
+#: Pairs of holders that are counted at once.
+PAIRS = 1 << 22
 #: Words whose hashes a worker keeps.
 _MEMORY = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -150,7 +160,7 @@ def _first_pass(n: int):
             rows = len(ids)
             yield _batch(_FIRST, kind=[0] * rows, id=ids, th=hashes, n=[len(s) for s in sets], sid=sids, classes=classes, gram=[None] * rows, count=[None] * rows)
             # equal sets of a batch count once
-            own = {s: g for i, s, g in zip(ids, sids, sets) if s is not None and i is not None}
+            own = {s: g for s, g in zip(sids, sets) if s is not None}
             if not own:
                 continue
             grams = np.concatenate(list(own.values()))
@@ -298,6 +308,14 @@ def _compare(n: int, fine: bool):
     return run
 
 
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` rows with the texts of their ``row`` and ``th``; the other texts stay where they are."""
+    rows = wanted.select("row", "th").distinct()
+    if rows.count() * 24 <= BROADCAST_BYTES:
+        rows = F.broadcast(rows)
+    return docs.select("row", "th", "text").join(rows, ["row", "th"], "left_semi").join(wanted, ["row", "th"])
+
+
 def compared(docs: DataFrame, where: DataFrame, pairs: DataFrame, n: int, fine: bool = False) -> DataFrame:
     """Pairs ``a, b`` of set ids with ``both`` and ``all``, the exact sizes of their sets; each ``b`` with itself, too.
 
@@ -308,11 +326,7 @@ def compared(docs: DataFrame, where: DataFrame, pairs: DataFrame, n: int, fine:
     salted = salted.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / STAR)).alias("salt"))
     wanted = salted.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "salt").union(salted.select(F.col("b"), F.col("b"), "salt").distinct())
     wanted = written(wanted.join(where, "sid").select("row", "th", "sid", "pivot", "salt"), "wanted")
-    rows = wanted.select("row", "th").distinct()
-    if rows.count() * 24 <= BROADCAST_BYTES:
-        rows = F.broadcast(rows)
-    texts = docs.join(rows, ["row", "th"], "left_semi")
-    groups = texts.join(wanted, ["row", "th"]).select("pivot", "salt", "sid", "text")
+    groups = _with_texts(docs, wanted).select("pivot", "salt", "sid", "text")
     first = F.when(F.col("sid") == F.col("pivot"), 0).otherwise(1)
     dealt = groups.repartition(shuffle_partitions(docs.sparkSession), "pivot", "salt").sortWithinPartitions("pivot", "salt", first)
     return dealt.mapInArrow(_compare(n, fine), _COMPARED)
@@ -465,20 +479,110 @@ def _across(shared: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
     return _met(rows, percent, False, False).select("a", "b").distinct()
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """``id, th, n, component, n_links`` of every row; ``th`` is a hash of the text, ``component`` the id of a set."""
+def _shared_grams(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``left`` sets (rows) and the others (columns); of all sets if there are no others."""
+    rows, cols = left, len(sets) - left or left
+    first = left if len(sets) > left else 0
+    both = np.zeros((rows, cols), np.float32)
+    grams, holder = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(grams, kind="stable")
+    grams, holder = grams[order], holder[order]
+    start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    size = np.diff(np.append(start, len(grams)))
+    for few in np.unique(size[(size > 1) & (size < DENSE)]):
+        held = holder[start[size == few][:, None] + np.arange(few)]
+        for part in np.array_split(held, 1 + held.size * few // PAIRS):
+            x, y = np.repeat(part, few, axis=1).reshape(-1), np.tile(part, few).reshape(-1) - first
+            ok = (x < rows) & (y >= 0)
+            both += np.bincount(x[ok] * cols + y[ok], minlength=rows * cols).reshape(rows, cols).astype(np.float32)
+    many = np.flatnonzero(size >= DENSE)
+    for part in np.array_split(many, 1 + len(many) // 1024):
+        table = np.zeros((len(sets), len(part)), np.float32)
+        for k, m in enumerate(part):
+            table[holder[start[m] : start[m] + size[m]], k] = 1
+        both += table[:rows] @ table[first:].T
+    return both
+
+
+def _count_links(n: int, percent: int):
+    """Rows ``sid, n_links`` of block pairs; the rows of one follow each other. Each set counts with its copies."""
+
+    def counted(held: dict) -> pa.RecordBatch:
+        rows = sorted(held.values(), key=lambda x: x[0] == 1)
+        left = sum(side != 1 for side, *_ in rows)
+        same = rows[0][0] == 2
+        sids, copies = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+        size = np.array([len(r[3]) for r in rows])
+        total = np.zeros(len(rows), np.int64)
+        if same or 0 < left < len(rows):
+            both = _shared_grams([r[3] for r in rows], left).astype(np.int64)
+            other = slice(0, None) if same else slice(left, None)
+            link = both * 100 >= percent * (size[:left, None] + size[None, other] - both)
+            if same:
+                np.fill_diagonal(link, False)
+            total[:left] = link @ copies[other]
+            if not same:
+                total[left:] = copies[:left] @ link
+        return _batch("sid long, n_links long", sid=sids, n_links=total)
+
+    def run(batches):
+        shingle, key, held = Shingler(n), None, {}
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for new, side, sid, copies, text in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 6)), batch.column(6)):
+                if new != key and held:
+                    yield counted(held)
+                    held = {}
+                key = new
+                if sid not in held:  # rows of one id and text may be repeated
+                    held[sid] = side, sid, copies, shingle(text.as_py())
+        if held:
+            yield counted(held)
+
+    return released(run)
+
+
+def link_counts(docs: DataFrame, sets: DataFrame, labels: DataFrame, copies: DataFrame, n: int, percent: int) -> DataFrame:
+    """``sid, n_links``: rows of other sets that each set of a component links with.
+
+    ``sets`` has ``sid, row, th, n``, ``labels`` ``node, component`` and ``copies`` ``sid, copies``.
+    """
+    own = written(labels.join(sets.select(F.col("sid").alias("node"), "row", "th", "n"), "node").withColumnRenamed("node", "sid").join(copies, "sid"), "linked")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int")
+    groups = own.groupBy("component").agg(F.count("*").alias("sets"), F.sum("copies").alias("rows"), blocks.alias("blocks"))
+    rows = own.join(groups, "component")
+    # two sets of a component are linked with each other
+    pairs = rows.filter("sets = 2").select("sid", (F.col("rows") - F.col("copies")).alias("n_links"))
+    me = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    wanted = written(rows.filter("sets > 2").select("row", "th", "component", "sid", "copies", "blocks", me.alias("me")), "counted")
+
+    def meet(j):
+        i = F.col("me")
+        return F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), F.when(j == i, 2).when(i < j, 0).otherwise(1).alias("side"))
+
+    dealt = _with_texts(docs, wanted).withColumn("m", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), meet)))
+    dealt = dealt.select("component", "m.i", "m.j", "m.side", "sid", "copies", "text")
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    found = dealt.mapInArrow(_count_links(n, percent), "sid long, n_links long")
+    return pairs.union(found).groupBy("sid").agg(F.sum("n_links").alias("n_links"))
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, count: bool = False) -> DataFrame:
+    """``id, th, n, component`` of every row; ``th`` is a hash of the text, ``component`` the id of a set. ``count`` adds ``n_links``."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("row"), F.xxhash64(text).alias("th"), text.alias("text"))
-    first = written(base.mapInArrow(_first_pass(n), _FIRST), "sets")
+    own_id = F.col(id_col).cast("long")
+    base = docs.select(own_id.alias("id"), F.coalesce(own_id, F.lit(NO_ID)).alias("row"), F.xxhash64(text).alias("th"), text.alias("text"))
+    first = written(base.select("id", "th", "text").mapInArrow(_first_pass(n), _FIRST), "sets")
     members = first.filter("kind = 0").select("id", "th", "n", "sid")
-    sets = first.filter("kind = 0 and sid is not null and id is not null").groupBy("sid").agg(F.min(F.struct("id", "th")).alias("own"), F.first("n").alias("n"), F.first("classes").alias("classes"))
+    place = F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "th")
+    sets = first.filter("kind = 0 and sid is not null").groupBy("sid").agg(F.min(place).alias("own"), F.first("n").alias("n"), F.first("classes").alias("classes"))
     sets = sets.select("sid", F.col("own.id").alias("row"), "own.th", "n", "classes")
     often = first.filter("kind = 1").groupBy("gram").agg(F.sum("count").alias("count"), F.min("sid").alias("low"))
     hot = _Hot(spark, often.orderBy(F.desc("count"), "gram").limit(HOT).collect())  # bounded, see above
 
     buckets = max(8, shuffle_partitions(spark))
-    packed = base.filter("row is not null").select("text").mapInArrow(_cells(n, percent, hot, buckets), "bucket int, grams binary, sids binary")
+    packed = base.select("text").mapInArrow(_cells(n, percent, hot, buckets), "bucket int, grams binary, sids binary")
     shared = packed.repartition(buckets, "bucket").mapInArrow(_share(hot), "gram long, sid long, pivot long")
     shared = written(shared, "shared")
     sets = written(sets.join(shared.select("sid").union(shared.select("pivot")).distinct(), "sid"), "shared-sets")
@@ -519,17 +623,22 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     check(_inside(family, labels, percent, closest=False).union(_across(shared, state.drop("fine"), labels, percent)).distinct())
     labels = components(links)
 
-    counted = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    named = members.join(labels.join(counted, "node", "left"), members["sid"] == F.col("node"), "left")
-    return written(named.select("id", "th", "n", F.coalesce("component", "sid").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    named = members.join(labels, members["sid"] == labels["node"], "left").withColumn("component", F.coalesce("component", "sid")).drop("node")
+    if count:
+        copies = members.filter("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"))
+        counts = copies.join(link_counts(base, sets, labels, copies, n, percent), "sid", "left")
+        counts = counts.select("sid", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+        named = named.join(counts, "sid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return written(named.drop("sid"), "named")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id``, and ``n_links`` of its set's listed links.
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id``, and ``n_links``, the number of other rows it links with.
 
-    Sets are counted and named by 64-bit hashes; the links are checked on the n-grams themselves.
+    Sets are counted and named by 64-bit hashes, and so are the links; those that join components are checked
+    on the n-grams themselves.
     """
-    named = _members(docs, id_col, text_col, n, percent)
+    named = _members(docs, id_col, text_col, n, percent, count=True)
     lowest = named.filter("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
     return named.join(lowest, "component", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("lowest", "id").alias("component_id"), "n_links"

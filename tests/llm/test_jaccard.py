@@ -129,3 +129,32 @@ def test_rows_of_one_id_are_told_apart(make_docs):
         assert len(stay) == 1 and stay[0][0] == lowest[g]
     loose = lambda i, t: i is None or not J.grams_of(t, 5)
     assert sorted(str(x) for x in have if loose(*x)) == sorted({str(x) for x in rows if loose(*x)})
+
+
+def linked_rows(rows, percent=80, n=5):
+    """Links of every row by brute force over all pairs of rows, copies included."""
+    sets = [J.grams_of(t, n) for _, t in rows]
+    return sorted(
+        (str(i), sum(bool(s) and 100 * len(s & o) >= percent * len(s | o) for b, o in enumerate(sets) if b != a))
+        for a, ((i, _), s) in enumerate(zip(rows, sets))
+    )
+
+
+def test_links_inside_a_component_are_counted(make_docs, monkeypatch):
+    rows = [*family_rows(), (9001, family_rows()[3][1]), (9400, None)]
+    counts = lambda: sorted((str(r["doc_id"]), r["n_links"]) for r in J.jaccard_components(make_docs(rows)).collect())
+    assert counts() == linked_rows(rows)
+    # blocks of few sets and few n-grams, matrices of all or of no columns
+    monkeypatch.setattr(J, "BLOCK", 7)
+    monkeypatch.setattr(J, "BLOCK_GRAMS", 500)
+    monkeypatch.setattr(J, "DENSE", 3)
+    monkeypatch.setattr(J, "PAIRS", 100)
+    assert counts() == linked_rows(rows)
+
+
+def test_rows_without_an_id_link_like_others(make_docs):
+    words = [f"t{i}" for i in range(60)]
+    # 1 and 2 are linked by way of the row without an id only
+    rows = [(1, " ".join(words[:48])), (None, " ".join(words[:54])), (2, " ".join(words[:60])), (3, "quite another text than these are")]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in J.jaccard_components(make_docs(rows)).collect()}
+    assert got == {1: (1, 1), None: (1, 2), 2: (1, 1), 3: (3, 0)}
