@@ -8,8 +8,9 @@
    partitions of the input.
 3. *Search.* Sliding windows of every document, of the length class of each item, are projected and
    compared by cosine with the items. Every item part has a bar of its own: the cosine that all but
-   ``MISSED`` of ``DRAWS`` windows reach which hold just the share of its words that step 4 asks for
-   (``LOOSE`` with an answer, else ``STRICT``) among running words of documents.
+   ``MISSED`` of the windows reach which hold just the share of its words that step 4 asks for (``LOOSE``
+   with an answer, else ``STRICT``) among running words. The running words are those of all documents,
+   cut into windows; the cosines of each part are counted in ``BINS`` bins, summed over the cluster.
 4. *Check.* Candidates with enough words of the item (a bound that loses nothing) are accepted by the
    longest common subsequence of window and item words: a share of ``STRICT`` of the item, or
    ``LOOSE`` if the item has an answer and the window holds it.
@@ -23,12 +24,12 @@ and repeated items give their own rows; empty tables give empty results; other c
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanlytics.llm.common import fresh, query, read, released
 
@@ -39,10 +40,10 @@ ITEM_BLOCK = 4096
 PASSAGE = 64
 STRICT = 0.75
 LOOSE = 0.5
-#: Windows drawn for the bar of an item part, the share of them below it, and the documents they are drawn from.
+#: Choices of the words of an item part that a window still holds, the share of windows below the bar, bins of a cosine.
 DRAWS = 64
 MISSED = 0.03
-RUNNING_DOCS = 500
+BINS = 512
 #: Length classes of item parts; a window has five quarters of that length and moves by one.
 CLASSES = (8, 12, 16, 24, 32, 48, 64)
 LONGEST = CLASSES[-1]
@@ -52,6 +53,8 @@ CHUNK_WORDS = 1 << 14
 #: Cells of words, for an upper bound of the words a window shares with an item.
 CELLS = 1 << 10
 PAIRS = 1 << 16
+#: A bar is at least this cosine.
+LOWEST_BAR = np.float32(0.01)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = ".,;:!?()[]\"'#*$%&|<>"
 LEAK = "array<struct<item_id: long, cosine: double, lcs_ratio: double, from_word: long, to_word: long>>"
@@ -232,16 +235,81 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
 
-def _bars(parts: list[np.ndarray], shares: list[float], m: int, latent: np.ndarray, vectors: np.ndarray, running: np.ndarray) -> np.ndarray:
-    """For each part of class ``m`` the cosine that windows with just its share of words still reach."""
-    rng, out = np.random.default_rng(m), np.empty(len(parts), np.float32)
-    for i, (part, share) in enumerate(zip(parts, shares)):
-        kept = int(np.ceil(share * len(part)))
-        held = rng.random((DRAWS, len(part))).argsort(axis=1) < kept
-        other = rng.integers(len(running), size=(DRAWS, 1)) + np.arange(m + m // 4 - kept)
-        z = held.astype(np.float32) @ vectors[feature_of(part)] + vectors[running[other % len(running)]].sum(axis=1)
-        out[i] = np.quantile(_unit(z) @ latent[i], MISSED)
-    return np.maximum(out, 0.01)
+def _draws(part: np.ndarray, kept: int, m: int, vectors: np.ndarray) -> np.ndarray:
+    """Sums of word vectors for ``DRAWS`` choices of ``kept`` words of a part."""
+    held = np.random.default_rng([m, *part[:4].tolist()]).random((DRAWS, len(part))).argsort(axis=1) < kept
+    return held.astype(np.float32) @ vectors[feature_of(part)]
+
+
+def _cosines(index: Index, shares: list[float], texts):
+    """Numbers of parts and the cosines of windows with them. Each of ``texts`` (lists of features of whole documents) is cut
+    by itself, its last windows go on at its beginning; a window of a part is filled up with one of the choices of its words."""
+    by_size = defaultdict(list)
+    for m, ks in index.by_class.items():
+        for at, k in enumerate(ks):
+            kept = int(np.ceil(shares[k] * len(index.parts[k])))
+            by_size[m, m + m // 4 - kept].append((k, index.latent[m][at], _draws(index.parts[k], kept, m, index.vectors)))
+    sides = {key: ([k for k, _, _ in rows], np.stack([x for _, x, _ in rows]), np.stack([d for _, _, d in rows], axis=1)) for key, rows in by_size.items()}
+    for docs in texts:
+        sizes = np.array([len(w) for w in docs])
+        z = index.vectors[np.concatenate([np.resize(w, len(w) + LONGEST) for w in docs])]
+        begin = np.cumsum(sizes + LONGEST) - sizes - LONGEST
+        first = np.array([w.sum() for w in docs])  # of the choices, so that short texts do not all meet the same ones
+        sums = np.concatenate([np.zeros((1, z.shape[1])), np.cumsum(z, axis=0, dtype=np.float64)])
+        for (m, size), (ks, latent, drawn) in sides.items():
+            step = m + m // 4
+            many = -(-sizes // step)
+            number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            choice = (np.repeat(first, many) + number) % DRAWS
+            order = np.argsort(choice, kind="stable")
+            at, cut = (np.repeat(begin, many) + number * step)[order], np.searchsorted(choice[order], np.arange(DRAWS + 1))
+            run = (sums[at + size] - sums[at]).astype(np.float32)
+            norm, along = np.einsum("ij,ij->i", run, run)[:, None], run @ latent.T
+            for own, lo, hi in zip(drawn, cut[:-1], cut[1:]):
+                if lo < hi:
+                    square = np.einsum("ij,ij->i", own, own) + 2 * (run[lo:hi] @ own.T) + norm[lo:hi]
+                    yield ks, (along[lo:hi] + np.einsum("ij,ij->i", own, latent)) / np.sqrt(np.maximum(square, 1e-12))
+
+
+def _running(batches):
+    """Lists of the features of the words of documents, of about ``CHUNK_WORDS`` words."""
+    held, size = [], 0
+    for batch in batches:
+        for w in filter(len, words_of(batch.column(0))):
+            held.append(feature_of(w))
+            size += len(w)
+            if size >= CHUNK_WORDS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _cosine_counts(held, shares: list[float]):
+    def run(batches):
+        index = held.value
+        counts = np.zeros((len(index.parts), BINS), np.int64)
+        for ks, cosine in _cosines(index, shares, _running(batches)):
+            bins = np.clip(((cosine + 1) * (BINS / 2)).astype(np.int64), 0, BINS - 1) + np.arange(len(ks)) * BINS
+            counts[ks] += np.bincount(bins.reshape(-1), minlength=len(ks) * BINS).reshape(len(ks), BINS)
+        part, bins = np.nonzero(counts)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "bin": pa.array(bins, pa.int32()), "n": pa.array(counts[part, bins], pa.int64())})
+
+    return released(run)
+
+
+def with_bars(docs: DataFrame, text: str, index: Index, strict: float = STRICT, loose: float = LOOSE) -> Index:
+    """``index`` with the bars of its parts from the running words of all documents; without any word the bars are the lowest."""
+    shares = [loose if len(a) else strict for a in index.answers]
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    counts = docs.select(text).mapInArrow(_cosine_counts(held, shares), "part int, bin int, n long").groupBy("part", "bin").agg(F.sum("n").alias("n"))
+    one = Window.partitionBy("part")
+    so_far = F.sum("n").over(one.orderBy("bin"))
+    counts = counts.select("part", "bin", so_far.alias("so_far"), F.sum("n").over(one).alias("total"))
+    rows = counts.filter(F.col("so_far") > MISSED * F.col("total")).groupBy("part").agg(F.min("bin").alias("bin")).collect()  # a row for each part
+    low = np.zeros(len(index.parts), np.float32)
+    low[[r["part"] for r in rows]] = [r["bin"] * 2 / BINS - 1 for r in rows]
+    return replace(index, bars={m: np.maximum(low[ks], LOWEST_BAR) for m, ks in index.by_class.items()})
 
 
 def _cell_of(h: np.ndarray) -> np.ndarray:
@@ -261,11 +329,8 @@ def _members(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.empty((0, CELLS // 64), np.uint64), *bits])
 
 
-def build_index(items: list, vectors: np.ndarray, running: np.ndarray | None = None, strict: float = STRICT, loose: float = LOOSE) -> Index:
-    """``items``: (item_id, text, answer or None); texts longer than ``LONGEST`` words are cut in parts.
-
-    ``running``: features of running words of documents for the bars, else the words of the items.
-    """
+def build_index(items: list, vectors: np.ndarray) -> Index:
+    """``items``: (item_id, text, answer or None); texts longer than ``LONGEST`` words are cut in parts. The bars are the lowest."""
     ids, parts, answers = [], [], []
     for item_id, text, answer in items:
         w = words_in(text)
@@ -277,10 +342,7 @@ def build_index(items: list, vectors: np.ndarray, running: np.ndarray | None = N
         group[class_of(len(p))].append(k)
     by_class = {m: np.array(ks) for m, ks in group.items()}
     latent = {m: _unit(np.stack([vectors[feature_of(parts[k])].sum(axis=0) for k in ks])) for m, ks in by_class.items()}
-    if parts and (running is None or not len(running)):
-        running = feature_of(np.concatenate(parts))
-    shares = [loose if len(a) else strict for a in answers]
-    bars = {m: _bars([parts[k] for k in ks], [shares[k] for k in ks], m, latent[m], vectors, running) for m, ks in by_class.items()}
+    bars = {m: np.full(len(ks), LOWEST_BAR) for m, ks in by_class.items()}
     vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])  # the word of empty places
     return Index(vectors, ids, parts, answers, [_places(p) for p in parts], by_class, latent, bars, _members(parts))
 
@@ -401,15 +463,13 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: s
 
     fit = docs.select(F.col(text).alias("passage")).union(items.select("item_text"))
     vectors = latent_space(fit, idf)
-    chosen = F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(min(1.0, RUNNING_DOCS / n_docs) * (1 << 20)) + 1
-    some = docs.filter(chosen).select(F.substring(text, 1, 8000)).collect()  # about RUNNING_DOCS rows
-    running = feature_of(np.concatenate([np.empty(0, np.uint64), *words_of(pa.array([r[0] for r in some], pa.string()))]))
     blocks = -(-n_items // ITEM_BLOCK)
     columns = []
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b)
         rows = [(r["item_id"], r["item_text"], r["answer"]) for r in part.collect()]  # about ITEM_BLOCK rows
-        columns.append(_leaks_udf(spark.sparkContext.broadcast(build_index(rows, vectors, running)))(F.col(text)))
+        index = with_bars(docs, text, build_index(rows, vectors))
+        columns.append(_leaks_udf(spark.sparkContext.broadcast(index))(F.col(text)))
     return docs.withColumn(out, columns[0] if blocks == 1 else F.concat(*columns))
 
 

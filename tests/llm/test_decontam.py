@@ -139,3 +139,27 @@ def test_the_latent_space_covers_all_rows(spark, make_docs, monkeypatch):
             want += a[:, None] * (a @ x)
     got = D._times_gram(spark.createDataFrame([(t,) for t in texts[:300]], "passage string"), idf, x)
     assert np.abs(got - want).max() < 1e-4 * np.abs(want).max()
+
+
+def test_the_bars_come_from_all_documents(make_docs):
+    """The bar of a part is the quantile of its cosines over the windows of every document, however many there are."""
+    vectors = np.random.default_rng(1).standard_normal((D.FEATURES, 16)).astype(np.float32)
+    items = [(1, " ".join(invented(1, 20)), None), (2, " ".join(invented(2, 20)), "right one"), (3, " ".join(invented(3, 9)), None), (4, None, None)]
+    # most documents hold words of the first item only, the few others lower its bar
+    texts = [" ".join(invented(1, 20) * 2)] * 1500 + [" ".join(invented(i, 200)) for i in range(40)] + [None, ""]
+    index = D.with_bars(make_docs(list(enumerate(texts))), "text", D.build_index(items, vectors))
+    values = {k: [] for k in range(3)}
+    for text in texts:
+        words = D.feature_of(D.words_in(text))
+        for m, ks in index.by_class.items():
+            for at, k in enumerate(ks):
+                part = index.parts[k]
+                kept = int(np.ceil((D.LOOSE if len(index.answers[k]) else D.STRICT) * len(part)))
+                drawn = D._draws(part, kept, m, index.vectors)
+                for w, start in enumerate(range(0, len(words), m + m // 4)):
+                    z = drawn[(words.sum() + w) % D.DRAWS] + sum(vectors[words[x % len(words)]] for x in range(start, start + m + m // 4 - kept))
+                    values[k].append(float(z @ index.latent[m][at] / np.linalg.norm(z)))
+    for m, ks in index.by_class.items():
+        for k, bar in zip(ks, index.bars[m]):
+            assert len(values[k]) > 1500 and abs(bar - sorted(values[k])[int(D.MISSED * len(values[k]))]) <= 2 / D.BINS + 1e-4
+    assert D.with_bars(make_docs([]), "text", D.build_index(items, vectors)).bars[24].tolist() == [D.LOWEST_BAR] * 2
