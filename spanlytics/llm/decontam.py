@@ -264,21 +264,22 @@ def _cosines(index: Index, shares: list[float], texts):
             order = np.argsort(choice, kind="stable")
             at, cut = (np.repeat(begin, many) + number * step)[order], np.searchsorted(choice[order], np.arange(DRAWS + 1))
             run = (sums[at + size] - sums[at]).astype(np.float32)
-            norm, along = np.einsum("ij,ij->i", run, run)[:, None], run @ latent.T
+            both = np.empty((len(at), len(ks)), np.float32)
             for own, lo, hi in zip(drawn, cut[:-1], cut[1:]):
-                if lo < hi:
-                    square = np.einsum("ij,ij->i", own, own) + 2 * (run[lo:hi] @ own.T) + norm[lo:hi]
-                    yield ks, (along[lo:hi] + np.einsum("ij,ij->i", own, latent)) / np.sqrt(np.maximum(square, 1e-12))
+                both[lo:hi] = run[lo:hi] @ own.T
+            which = choice[order]
+            square = np.einsum("dij,dij->di", drawn, drawn)[which] + 2 * both + np.einsum("ij,ij->i", run, run)[:, None]
+            yield ks, (run @ latent.T + np.einsum("dij,ij->di", drawn, latent)[which]) / np.sqrt(np.maximum(square, 1e-12))
 
 
 def _running(batches):
-    """Lists of the features of the words of documents, of about ``CHUNK_WORDS`` words."""
+    """Lists of the features of the words of documents, of about four times ``CHUNK_WORDS`` words."""
     held, size = [], 0
     for batch in batches:
         for w in filter(len, words_of(batch.column(0))):
             held.append(feature_of(w))
             size += len(w)
-            if size >= CHUNK_WORDS:
+            if size >= 4 * CHUNK_WORDS:
                 yield held
                 held, size = [], 0
     if held:
