@@ -8,11 +8,10 @@ from spanlytics.operators import agreement as G
 from spanlytics.operators import contrasts as C
 from spanlytics.operators import evaluate as E
 from spanlytics.operators import significance as S
-from spanlytics.operators.matching import overlap_pairs
 from spanlytics.plans import derived as D
 from spanlytics.plans.derived_sql import KEYS as K, LABEL_LIST, h, scored, units_prefix
 from spanlytics.plans.registry import query, r6, rounded
-from spanlytics.plans.scoring import inputs
+from spanlytics.plans.scoring import scores
 from spanlytics.session import materialize
 
 B = S.RESAMPLES
@@ -143,8 +142,7 @@ fk as (select dataset, backend, config_id, n_units, case when p_e < 1 then (p_ba
 
 
 def _units(spark, sf):
-    results, pred, gold = inputs(spark, sf)
-    return E.unit_records(results, gold, overlap_pairs(E.prediction_view(pred), gold))
+    return scores(spark, sf).units
 
 
 @query("fleiss_kappa_runs", units_prefix((1,), FILLED, FLEISS) + f" select dataset, backend, config_id, n_units, {r6('fleiss_kappa')} fleiss_kappa from fk")
@@ -265,7 +263,7 @@ FAM = "dataset, backend, ablation"
 
 
 def _counts(spark, sf, rounds=(1,)):
-    s = E.score(*inputs(spark, sf, rounds))
+    s = scores(spark, sf, rounds)
     return materialize(E.review_counts(s)), s.units
 
 
