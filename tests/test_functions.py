@@ -187,3 +187,18 @@ def test_tail_probabilities():
     assert T.beta_cdf(2.0, 3.0, 0.4) == pytest.approx(0.5248)
     assert T.student_two_sided(2.2281388519649385, 10) == pytest.approx(0.05)
     assert T.normal_quantile(0.975) == pytest.approx(1.959963984540054)
+
+
+def test_offsets_of_a_batch_in_slices():
+    import pyarrow as pa
+
+    from spanlytics.functions import tokens as T
+
+    texts, seen = pa.array(["one two", None, "", "a-b c."] * 5), []
+
+    def run(part):
+        seen.append(len(part))
+        return T.offsets_of(T.token_bounds)(part)
+
+    assert T.in_slices(run, texts, 6).equals(run(texts)) and max(seen[:-1]) == 6
+    assert len(T.in_slices(run, texts.slice(0, 0))) == 0
