@@ -202,3 +202,18 @@ def test_offsets_of_a_batch_in_slices():
 
     assert T.in_slices(run, texts, 6).equals(run(texts)) and max(seen[:-1]) == 6
     assert len(T.in_slices(run, texts.slice(0, 0))) == 0
+
+
+def test_matching_forms_of_a_batch_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from spanlytics.functions import text as X
+
+    seen, plain = [], X.match_forms
+    monkeypatch.setattr(X, "match_forms", lambda texts: seen.append(len(texts)) or plain(texts))
+    texts = pa.array(["One  “two”", None, "", "<b>A</b> ½"] * 200)
+    forms = X.match_normalized.func(texts)
+    assert len(forms) == 800 and max(seen) <= 256 and forms.slice(400).to_pylist() == forms.slice(0, 400).to_pylist()
+    lists = pa.array([["A  b", "C"], None, [], [None]] * 200)
+    assert X.match_form_lists.func(lists).to_pylist() == [["a b", "c"], None, [], [""]] * 200
+    assert X.decode_reference_lists.func(pa.array([["a &amp; b", None], None, []] * 200)).to_pylist() == [["a & b", None], [], []] * 200

@@ -115,3 +115,14 @@ def test_plans_hold_no_python_search(spark):
     rows = spark.createDataFrame([(1, 0, "Lemma two", 3)], "review_id long, span_id int, text string, hint int")
     plan = A.locate_spans(docs, rows, "exact", tokens=False)._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_occurrences_and_size_of_the_text(spark):
+    from pyspark.sql import functions as F
+
+    from spanlytics.functions.locate import occurrences
+
+    rows = spark.createDataFrame([("abcabcab", "bca"), ("aaaa", "aa"), ("abc", "x"), ("abc", "b"), ("a\\Eb\\E", "\\E"), ("né\U0001d518né", "né")], "t string, n string")
+    assert [r[0] for r in rows.select(occurrences(F.col("t"), F.col("n"))).collect()] == [2, 3, 0, 1, 2, 2]
+    docs = spark.createDataFrame([(1, "é\U0001d518"), (2, None)], "review_id long, text string")
+    assert {r["review_id"]: r["source_size"] for r in A.searchable(docs, "exact", False).collect()} == {1: 2, 2: 0}
