@@ -10,6 +10,11 @@ punctuation and line breaks thus always holds a common run. Runs are compared by
 lower-case words over the whole corpus. The first place of a run (smallest document id, then place in
 the text) stays; a piece that any later place covers is removed.
 
+Nearly all runs stand in one place only. A first pass counts a 64-bit key of each run; the keys that
+come more than once mark two places each in a bit map of a fixed size, which every task gets. A second
+pass sends only the runs whose places are both marked. A run that is marked by chance costs a row and
+changes nothing, since what is sent is compared by its whole hash.
+
 Counts and first places combine before the shuffle, so a passage that very many documents share is no
 hot key there; the join that brings the first places back is left to adaptive skew splitting. Only runs
 that repeat come back, merged to ranges of pieces for each document.
@@ -29,15 +34,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanlytics.llm.common import BROADCAST_BYTES, fresh, query, read, written
+from spanlytics.llm.common import BROADCAST_BYTES, fresh, query, read, released, written
 
 MIN_WORDS = 25
 WINDOW = 9
-_END = re.compile(rb"[.!?]+[ \t]+|\n+")
+_END = re.compile(r"[.!?]+[ \t]+|\n+")
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\f\v"))
+_STOP = np.isin(np.arange(256), list(b".!?"))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bits of the map of repeated keys (16 MB), whatever the size of the corpus.
+MAP_BITS = 1 << 27
+_BLOCK = 1 << 15  # bits of one of Spark's bit maps
 _RUNS = "doc long, th long, first int, last int, again boolean, h1 long, h2 long"
 
 
@@ -54,20 +64,31 @@ def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return h
 
 
-def _cuts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the pieces of a text that is not empty start, with its end, and where its words start."""
+def _closed(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the matches of ``_END`` end: spaces behind a word with a closing mark, and line breaks."""
+    gap = (raw == 32) | (raw == 9)
+    stop = ends[(ends < len(raw)) & _STOP[raw[ends - 1]]]
+    solid = np.append(np.flatnonzero(~gap), len(raw))
+    spaces = solid[np.searchsorted(solid, stop[gap[stop]])]
+    line = np.flatnonzero(raw == 10)
+    return np.sort(np.concatenate([spaces, line[np.diff(line, append=len(raw) + 1) != 1] + 1]))
+
+
+def _cuts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the pieces of a text that is not empty start, with its end, where its words start, and the hashes of these."""
     raw = np.frombuffer(text, np.uint8)
     word = np.concatenate([[False], ~_BLANK[raw], [False]])
     starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(~word[1:] & word[:-1])
-    closed = np.array([m.end() for m in _END.finditer(text)], np.int64)
+    closed = _closed(raw, ends)
     chosen = np.zeros(len(starts), bool)
+    hashes = _hashes(raw, starts, ends) if len(starts) else np.empty(0, np.uint64)
     if len(starts) >= WINDOW:
-        near = np.lib.stride_tricks.sliding_window_view(_hashes(raw, starts, ends), WINDOW)
+        near = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
         chosen[np.arange(len(near)) + WINDOW - 1 - near[:, ::-1].argmin(axis=1)] = True
         # no second cut where a sentence ends between two words, none before the first word
         chosen[1:] &= np.searchsorted(closed, starts[1:], side="right") == np.searchsorted(closed, ends[:-1], side="right")
         chosen[0] = False
-    return np.unique(np.concatenate([[0], closed, starts[chosen], [len(text)]])), starts
+    return np.unique(np.concatenate([[0], closed, starts[chosen], [len(text)]])), starts, hashes
 
 
 def sentences_of(text: str | None) -> list[str]:
@@ -79,38 +100,114 @@ def sentences_of(text: str | None) -> list[str]:
     return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(cuts, cuts[1:])]
 
 
-def runs_of(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """``first, last, hash`` of the runs of a text; pieces are numbered from 0."""
-    if not text:
-        return []
-    raw = text.encode("utf-8", "surrogatepass")
-    cuts, words = _cuts(raw)
+class _Powers:
+    """Powers of a base, made once and lengthened as texts ask for more."""
+
+    def __init__(self, base: np.uint64):
+        self.base, self.values = base, np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.values) < n:
+            size = max(n, 2 * len(self.values))
+            self.values = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, self.base)]))
+        return self.values[:n]
+
+
+_UP, _DOWN = _Powers(_BASE), _Powers(_UNDO)
+
+
+def _places(raw: bytes, min_words: int):
+    """First and last pieces of the runs of a text in order, the words before every cut, and a 64-bit key of every run."""
+    cuts, words, hashes = _cuts(raw)
     upto = np.searchsorted(words, cuts)  # words before each cut
     n = len(cuts) - 1
+    none = np.empty(0, np.int64)
     if upto[-1] < min_words:
-        return []
+        return none, none, upto, np.empty(0, np.uint64)
     starts = np.arange(n)
     last = np.searchsorted(upto, upto[:-1] + min_words) - 1  # shortest run from each start
     first = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1  # shortest run to each end
-    spans = {(a, b) for a, b in zip(starts.tolist(), last.tolist()) if b < n} | {(a, b) for a, b in zip(first.tolist(), starts.tolist()) if a >= 0}
+    forth, back = last < n, first >= 0
+    span = np.unique(np.concatenate([starts[forth] * n + last[forth], first[back] * n + starts[back]]))
+    a, b = span // n, span % n
+    held = np.diff(upto) > 0
+    both = held[a] & held[b]
+    a, b = a[both], b[both]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _UP.upto(len(hashes)))])
+    key = (sums[upto[b + 1]] - sums[upto[a]]) * _DOWN.upto(len(hashes) + 1)[upto[a]]
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return a, b, upto, key ^ (key >> np.uint64(29))
+
+
+def _hashed(raw: bytes, a: np.ndarray, b: np.ndarray, upto: np.ndarray) -> list[int]:
+    """The hash of the lower-case words of each run."""
     lower = raw.lower().split()
-    place = np.cumsum([0, *(len(w) + 1 for w in lower)])[upto].tolist()  # of each cut among the joined words
+    place = np.cumsum([0, *(len(w) + 1 for w in lower)])[upto]  # of each cut among the joined words
     joined = b" ".join(lower)
-    held = (np.diff(upto) > 0).tolist()
-    return [(a, b, xxhash.xxh3_128_intdigest(joined[place[a] : place[b + 1] - 1])) for a, b in sorted(spans) if held[a] and held[b]]
+    return [xxhash.xxh3_128_intdigest(joined[x : y - 1]) for x, y in zip(place[a].tolist(), place[b + 1].tolist())]
 
 
-def _all_runs(min_words: int):
+def runs_of(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """``first, last, hash`` of the runs of a text; pieces are numbered from 0."""
+    if not text:
+        return []
+    raw = text.encode("utf-8", "surrogatepass")
+    a, b, upto, _ = _places(raw, min_words)
+    return list(zip(a.tolist(), b.tolist(), _hashed(raw, a, b, upto)))
+
+
+def _all_keys(min_words: int):
+    """Keys of all runs; one that comes more than twice in a batch is sent twice."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            keys = np.sort(np.concatenate([np.empty(0, np.uint64), *(_places(t, min_words)[3] for t in texts if t)]))
+            keep = np.ones(len(keys), bool)
+            keep[2:] = keys[2:] != keys[:-2]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64))], names=["key"])
+
+    return released(run)
+
+
+def _marked(keys: DataFrame):
+    """The bit map of the keys that come more than once, sent to every task."""
+    again = keys.groupBy("key").count().filter("count > 1")
+    places = [F.col("key").bitwiseAND(F.lit(MAP_BITS - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(MAP_BITS - 1))]
+    place = again.select(F.explode(F.array(*[p + 1 for p in places])).alias("place"))
+    blocks = place.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    marks = np.zeros((MAP_BITS // _BLOCK, _BLOCK // 8), np.uint8)
+    for row in blocks.toLocalIterator():
+        marks[row["block"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(marks.reshape(-1))
+
+
+def _are_marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for shift in (0, 32):
+        place = ((keys >> np.uint64(shift)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+        out &= (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _marked_runs(min_words: int, held):
     low = (1 << 64) - 1
 
     def run(batches):
+        marks = held.value
         for batch in batches:
             doc, th, first, last, again, h1, h2 = [], [], [], [], [], [], []
-            for i, own, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                seen = {}
-                for a, b, h in runs_of(text, min_words):
-                    again.append(seen.setdefault(h, a) != a)  # repeats an earlier place of its own text
-                    doc.append(i), th.append(own), first.append(a), last.append(b), h1.append(h >> 64), h2.append(h & low)
+            for i, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                if not text:
+                    continue
+                a, b, upto, keys = _places(text, min_words)
+                some = _are_marked(marks, keys)
+                if not some.any():
+                    continue
+                a, b, seen = a[some], b[some], {}
+                for x, y, h in zip(a.tolist(), b.tolist(), _hashed(text, a, b, upto)):
+                    again.append(seen.setdefault(h, x) != x)  # repeats an earlier place of its own text
+                    doc.append(i), th.append(own), first.append(x), last.append(y), h1.append(h >> 64), h2.append(h & low)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc, pa.int64()),
@@ -124,7 +221,7 @@ def _all_runs(min_words: int):
                 names=["doc", "th", "first", "last", "again", "h1", "h2"],
             )
 
-    return run
+    return released(run)
 
 
 _NO_ID = (1 << 63) - 1
@@ -137,7 +234,9 @@ def _text_hash(text_col: str):
 def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc, th, ranges``: for each document (id and hash of the text) the ranges of pieces that repeat an earlier place."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), _text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
-    runs = base.mapInArrow(_all_runs(min_words), _RUNS)
+    held = _marked(base.select("text").mapInArrow(_all_keys(min_words), "key long"))
+    runs = written(base.mapInArrow(_marked_runs(min_words, held), _RUNS), "runs")
+    held.unpersist()
     place = F.struct("doc", "th")
     seen = runs.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("h1", "h2", "low")
     later = runs.join(seen, ["h1", "h2"], "left").filter(F.col("again") | (place != F.col("low"))).select("doc", "th", "first", "last")
@@ -162,6 +261,10 @@ def _cut_udf():
     def run(text: pa.Array, ranges: pa.Array) -> pa.Array:
         out = []
         for t, spans in zip(text.to_pylist(), ranges.to_pylist()):
+            if t and not spans:
+                closed = {m.end() for m in _END.finditer(t)} - {len(t)}
+                out.append({"text": t, "sentences": len(closed) + 1, "removed": 0})
+                continue
             parts = sentences_of(t)
             gone = {i for s in spans or [] for i in range(s["first"], s["last"] + 1)}
             kept = "".join([p for i, p in enumerate(parts) if i not in gone]) if gone else t

@@ -117,3 +117,19 @@ def test_passages_in_mid_sentence_are_cut(make_docs):
         left = got[2 * k + 1].split()
         assert len(set(passage.split()) & set(left)) <= 51 - S.MIN_WORDS, k
         assert [w for w in left if w[0] == "d"] == [w for w in rows[2 * k + 1][1].split() if w[0] == "d"]
+
+
+def test_first_pass_marks_the_keys_that_repeat_and_the_second_sends_little(make_docs):
+    rng = random.Random(9)
+    passage = "".join(sentences(77, 6, rng))
+    rows = [(i, "".join(sentences(3000 + i, 40, rng)) + (passage if i % 50 == 0 else "")) for i in range(150)]
+    base = make_docs(rows).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
+    keys = base.select("text").mapInArrow(S._all_keys(25), "key long")
+    sent = base.mapInArrow(S._marked_runs(25, S._marked(keys)), S._RUNS).collect()
+    counts = {}
+    for i, text in rows:
+        for a, b, h in S.runs_of(text):
+            counts.setdefault(h, set()).add((i, a, b))
+    want = {p for places in counts.values() if len(places) > 1 for p in places}
+    got = {(r["doc"], r["first"], r["last"]) for r in sent}
+    assert want and want <= got and len(got) < len(want) + 5 and keys.count() > 50 * len(want)
