@@ -18,7 +18,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from spanlytics.functions.core import col, let
-from spanlytics.functions.tokens import in_slices, int_lists
+from spanlytics.functions.tokens import in_slices, int_lists, token_bounds
 
 # Well-formed inline markup, zero-width characters, line breaks.
 TAG = r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,200})?/?>"
@@ -54,6 +54,7 @@ MAPPED = StructType(
     ]
 )
 BOUNDS = StructType([StructField("s", ArrayType(IntegerType())), StructField("e", ArrayType(IntegerType()))])
+RANGED = StructType([StructField(n, ArrayType(IntegerType())) for n in ("s", "e", "ts", "tj")])
 
 _TAG = re.compile(TAG)
 #: Characters that are normalised together; a longer text is a block of its own.
@@ -311,6 +312,24 @@ def sentence_offsets(text: pa.Array) -> pa.Array:
     return in_slices(_sentence_rows, text)
 
 
+def _ranged_rows(text: pa.Array) -> pa.Array:
+    rows = []
+    for t in text.to_pylist():
+        s, e = (np.asarray(x, dtype=np.int32) for x in sentence_bounds(t or ""))
+        starts, ends = token_bounds(t or "")
+        ts, tj, gap = np.searchsorted(ends, s, side="right"), np.searchsorted(starts, e), np.searchsorted(starts, s)
+        some = tj > ts
+        rows.append((s, e, np.where(some, ts, gap), np.where(some, tj, gap)))
+    names = [f.name for f in RANGED.fields]
+    return pa.StructArray.from_arrays([int_lists([r[i] for r in rows]) for i in range(4)], fields=[pa.field(n, pa.list_(pa.int32())) for n in names])
+
+
+@F.arrow_udf(RANGED)
+def sentence_ranges(text: pa.Array) -> pa.Array:
+    """Sentences of each text in characters (``s``, ``e``) and in tokens (``ts``, ``tj``)."""
+    return in_slices(_ranged_rows, text)
+
+
 _REFERENCE = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 

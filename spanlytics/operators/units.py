@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from spanlytics.functions.core import let, slice_text, stable_hash
 from spanlytics.functions.labels import LABELS, NONE
-from spanlytics.functions.text import sentence_offsets, structure_flags
+from spanlytics.functions.text import sentence_offsets, sentence_ranges, structure_flags
 from spanlytics.functions.tokens import overlap, token_count, token_offsets
 from spanlytics.operators.matching import BLOCK
 
@@ -36,6 +36,13 @@ def sentences(reviews: DataFrame) -> DataFrame:
     )
 
 
+def ranged_sentences(reviews: DataFrame) -> DataFrame:
+    """One row per sentence with its token range: review_id, k, start, end, ts, tj. Tokens come with the row; nothing is shuffled."""
+    cut = reviews.select("review_id", sentence_ranges("text").alias("o"))
+    rows = cut.select("review_id", F.posexplode(F.arrays_zip("o.s", "o.e", "o.ts", "o.tj")).alias("k", "b"))
+    return rows.select("review_id", "k", F.col("b.s").alias("start"), F.col("b.e").alias("end"), "b.ts", "b.tj")
+
+
 def label_sentences(sents: DataFrame, gold: DataFrame, block: int = BLOCK) -> DataFrame:
     """Label each sentence by the gold span of largest token overlap (first one wins), else ``None``.
 

@@ -15,7 +15,7 @@ from spanlytics.operators.align import snap_to_tokens, token_rows, with_token_ra
 from spanlytics.plans import derived as D
 from spanlytics.plans.derived_sql import Q, REVIEWS, SPAN_TEXT, TOKENS, gold_prefix, h, spans_prefix
 from spanlytics.plans.registry import query
-from spanlytics.session import shared_folder
+from spanlytics.session import materialize, shared_folder
 from spanlytics.sources import records as REC
 from spanlytics.sources import runs as RUN
 
@@ -329,8 +329,7 @@ lab as (select review_id, k, arg_max(label, (ov, -g_idx)) label from ov group by
     + " select st.review_id || '#s' || st.k unit_id, st.ts, st.tj, coalesce(lab.label, 'None') \"label\" from st left join lab using (review_id, k)",
 )
 def sentence_units(spark, sf):
-    docs = D.reviews(spark, sf)
-    sents = with_token_ranges(U.sentences(docs).select("review_id", "k", "start", "end"), docs)
+    sents = materialize(U.ranged_sentences(D.reviews(spark, sf)))
     return U.label_sentences(sents, D.gold(spark, sf)).select("unit_id", "ts", "tj", "label")
 
 

@@ -217,3 +217,16 @@ def test_matching_forms_of_a_batch_in_slices(monkeypatch):
     lists = pa.array([["A  b", "C"], None, [], [None]] * 200)
     assert X.match_form_lists.func(lists).to_pylist() == [["a b", "c"], None, [], [""]] * 200
     assert X.decode_reference_lists.func(pa.array([["a &amp; b", None], None, []] * 200)).to_pylist() == [["a & b", None], [], []] * 200
+
+
+def test_sentence_ranges_come_with_the_row(spark):
+    from spanlytics.operators import align as A
+    from spanlytics.operators import units as U
+
+    texts = ["One two. Three-four five!\n\n\"Six\" sev", "", None, " . a.\n- B c. D", "x" * 600 + ". Yy " + "z " * 400]
+    docs = spark.createDataFrame([(i, "d", t) for i, t in enumerate(texts)], "review_id long, dataset string, text string")
+    ranged = U.ranged_sentences(docs)
+    want = A.with_token_ranges(U.sentences(docs).select("review_id", "k", "start", "end"), docs)
+    columns = ["review_id", "k", "start", "end", "ts", "tj"]
+    assert sorted(map(tuple, ranged.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert "Exchange" not in ranged._jdf.queryExecution().executedPlan().toString()
