@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from spanlytics.functions.core import col, count_if, prf_columns, stable_hash
 from spanlytics.functions.tails import binom_half_cdf, binom_half_pmf, chi2_sf, f_sf
+from spanlytics.operators.agreement import ALIKE, stands_for
 from spanlytics.session import materialize, task_count
 
 COUNTS = ["n_units", "n_correct", "tp", "fp", "fn"]
@@ -26,7 +27,7 @@ STRIDE = 1103515245
 SUMMANDS = (12345, 67890, 1013904223)
 THRESHOLDS = [int(c * PRIME) for c in POISSON_CDF]
 #: Resamples whose weights are held at once, and reviews of one such block.
-B_BLOCK, REVIEW_BLOCK = 500, 1000
+B_BLOCK, REVIEW_BLOCK = 500, 250
 
 
 def pool_runs(counts: DataFrame, by: list[str], policy: str = "pooled") -> DataFrame:
@@ -52,16 +53,30 @@ def _sums() -> list[Column]:
     return [F.sum(s + c).alias(s + c) for s in ("a_", "b_") for c in COUNTS]
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^63 modulo the Mersenne prime, but for the prime itself, which stands for 0."""
+    x = (x & PRIME) + (x >> 31)
+    return (x & PRIME) + (x >> 31)
+
+
 def weights(keys: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Poisson(1) weights of reviews (rows) in resamples (columns), from three squarings modulo a prime."""
-    x = (keys[:, None] + b[None, :] * STRIDE) % PRIME
+    x = _modulo(keys[:, None] + b[None, :] * STRIDE)
     for c in SUMMANDS:
-        x = (x * x + c) % PRIME
-    return np.searchsorted(np.array(THRESHOLDS), x, side="right")
+        x = _modulo(x * x + c)
+    x[x == PRIME] = 0
+    x = x.astype(np.int32)
+    out = np.zeros(x.shape, np.int8)
+    for t in THRESHOLDS:
+        out += x >= np.int32(t)
+    return out
 
 
 def _block_sums(family: list[str], columns: list[str], n: int):
-    """Per family and block of resamples: weight matrix times count matrix, summed over the rows of a task."""
+    """Per family and block of resamples: count matrix times weight matrix, summed over the rows of a task.
+
+    The rows of all families of a block of reviews are one matrix, so its weights are made and read once.
+    """
 
     def run(batches):
         total: dict[tuple, np.ndarray] = {}
@@ -69,19 +84,33 @@ def _block_sums(family: list[str], columns: list[str], n: int):
         for batch in batches:
             kinds = {f: batch.schema.field(f).type for f in family}
             names = list(zip(*[batch.column(f).to_pylist() for f in family]))
-            number = {k: i for i, k in enumerate(dict.fromkeys(names))}
+            kinds_of = list(dict.fromkeys(names))
+            number = {k: i for i, k in enumerate(kinds_of)}
             which = np.array([number[k] for k in names])
             keys, place = np.unique(batch.column("_key").to_numpy(), return_inverse=True)
             counts = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float)
-            for first in range(0, len(keys), REVIEW_BLOCK):
-                rows = np.flatnonzero((place >= first) & (place < first + REVIEW_BLOCK))
-                by_family = [(k, rows[which[rows] == i]) for k, i in number.items()]
+            # reviews of the same families lie together, so that a block has few families
+            lead = np.full(len(keys), len(number))
+            np.minimum.at(lead, place, which)
+            sorted_ = np.argsort(lead, kind="stable")
+            place = np.argsort(sorted_, kind="stable")[place]
+            keys, by_place = keys[sorted_], np.argsort(place, kind="stable")
+            edges = np.searchsorted(place[by_place], np.arange(0, len(keys) + REVIEW_BLOCK, REVIEW_BLOCK))
+            for first, lo_row, hi_row in zip(range(0, len(keys), REVIEW_BLOCK), edges[:-1], edges[1:]):
+                rows = by_place[lo_row:hi_row]
+                own = keys[first : first + REVIEW_BLOCK]
+                there, slot = np.unique(which[rows], return_inverse=True)
+                matrix = np.zeros((len(there), len(columns), len(own)))
+                np.add.at(matrix, (slot, slice(None), place[rows] - first), counts[:, rows].T)
+                flat = matrix.reshape(-1, len(own))
                 for lo in range(0, n, B_BLOCK):
-                    w = weights(keys[first : first + REVIEW_BLOCK], np.arange(lo, min(lo + B_BLOCK, n))).astype(float)
-                    for k, own in by_family:
-                        if len(own):
-                            part = counts[:, own] @ w[place[own] - first]
-                            total[k, lo] = total[k, lo] + part if (k, lo) in total else part
+                    part = (flat @ weights(own, np.arange(lo, min(lo + B_BLOCK, n))).astype(float)).reshape(len(there), len(columns), -1)
+                    for i, f in enumerate(there.tolist()):
+                        k = kinds_of[f]
+                        if (k, lo) in total:
+                            total[k, lo] += part[i]
+                        else:
+                            total[k, lo] = part[i].copy()
         if total:
             found = list(total)
             arrays = [pa.array([k[i] for k, _ in found], kinds[f]) for i, f in enumerate(family)]
@@ -227,18 +256,19 @@ def bootstrap_contrast(
 
 
 def majority_correct(units: DataFrame, by: list[str], policy: str = "pooled") -> DataFrame:
-    """One correctness value per distinct unit: at least half of the runs, or the first run."""
+    """One correctness value per distinct unit (or per kind of units that are ``alike``): at least half of the runs, or the first run."""
     if policy == "run0":
         first = units.groupBy(*by).agg(F.min("run").alias("run"))
-        return units.join(first, [*by, "run"]).select(*by, "unit_id", "correct")
-    return units.groupBy(*by, "unit_id").agg((F.avg("correct") >= 0.5).cast("int").alias("correct"))
+        return units.join(first, [*by, "run"]).select(*by, "unit_id", "correct", stands_for(units).alias(ALIKE))
+    return units.groupBy(*by, "unit_id").agg((F.avg("correct") >= 0.5).cast("int").alias("correct"), F.max(stands_for(units)).alias(ALIKE))
 
 
 def mcnemar(paired: DataFrame, family: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """Discordant counts with exact, mid-p and continuity-corrected chi-square p-values."""
-    yes_a, yes_b = F.col(a) == 1, F.col(b) == 1
+    yes_a, yes_b, each = F.col(a) == 1, F.col(b) == 1, stands_for(paired)
+    total = lambda cond: F.sum(F.when(cond, each).otherwise(0))
     counts = paired.groupBy(*family).agg(
-        count_if(yes_a & ~yes_b).alias("b"), count_if(~yes_a & yes_b).alias("c"), F.count("*").alias("n_paired")
+        total(yes_a & ~yes_b).alias("b"), total(~yes_a & yes_b).alias("c"), F.sum(each).alias("n_paired")
     )
     n = F.col("b") + F.col("c")
     k = F.least("b", "c")
