@@ -1,12 +1,15 @@
-"""System comparison tables: ablations, dataset contrasts, backends, repeated runs, rounds."""
+"""System comparison tables: ablations, dataset contrasts, backends, repeated runs, rounds.
+
+``units`` hold one row per unit and run, or one for all units that the compared runs rate alike (``RecordScores.alike``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spanlytics.functions.core import prf_columns
+from spanlytics.functions.core import prf_columns, ratio
 from spanlytics.functions.labels import LABELS
-from spanlytics.operators.agreement import inter_run_agreement
+from spanlytics.operators.agreement import ALIKE, inter_run_agreement, stands_for
 from spanlytics.operators.significance import (
     COUNTS,
     RESAMPLES,
@@ -76,7 +79,7 @@ def ablation_main(
         ],
     )
     correct = _unit_pairs(units, policy)
-    a = correct.filter(F.col("config_id") == "F").select("dataset", "backend", "unit_id", F.col("correct").alias("a"))
+    a = correct.filter(F.col("config_id") == "F").select("dataset", "backend", "unit_id", F.col("correct").alias("a"), ALIKE)
     b = correct.filter(F.col("config_id") != "F").select(
         "dataset", "backend", F.col("config_id").alias("ablation"), "unit_id", F.col("correct").alias("b")
     )
@@ -84,7 +87,7 @@ def ablation_main(
     tests = mcnemar(both, family).select(
         *family, F.col("b").alias("mcnemar_b"), F.col("c").alias("mcnemar_c"), F.col("p_exact").alias("p_mcnemar")
     )
-    sizes = both.groupBy(*family).agg(F.count("*").alias("n_units"))
+    sizes = both.groupBy(*family).agg(F.sum(ALIKE).alias("n_units"))
     table = boot.join(rates, family).join(tests, family).join(sizes, family)
     for p in ("p_f1", "p_acc", "p_mcnemar"):
         table = holm(table, ["dataset", "backend"], p, p.replace("p_", "p_adj_"), tie="ablation")
@@ -117,7 +120,7 @@ def backend_pairwise(
         *family, F.col("value_a").alias("f1_a"), F.col("value_b").alias("f1_b"), F.col("delta").alias("delta_f1")
     )
     correct = _unit_pairs(units.filter(F.col("config_id") == "F"), policy).drop("config_id")
-    left = correct.select("dataset", F.col("backend").alias("backend_a"), "unit_id", F.col("correct").alias("a"))
+    left = correct.select("dataset", F.col("backend").alias("backend_a"), "unit_id", F.col("correct").alias("a"), ALIKE)
     right = correct.select("dataset", F.col("backend").alias("backend_b"), "unit_id", F.col("correct").alias("b"))
     both = left.join(right, ["dataset", "unit_id"]).filter(F.col("backend_a") < F.col("backend_b"))
     tests = mcnemar(both, family).select(
@@ -160,8 +163,8 @@ def round_comparison(
     boot = _both_metrics(paired, SYSTEM, n, (seed + 11, seed + 12), ["dataset"], method)
     cells = []
     for name in LABELS:
-        acc = {
-            r: F.avg(F.when((F.col("round") == r) & (F.col("gold_label") == name), F.col("correct"))) for r in (1, 2)
-        }
+        of = {r: (F.col("round") == r) & (F.col("gold_label") == name) for r in (1, 2)}
+        each = stands_for(units)
+        acc = {r: ratio(F.sum(F.when(c, F.col("correct") * each)), F.sum(F.when(c, each))) for r, c in of.items()}
         cells += [acc[1].alias(f"{name}_acc_r1"), acc[2].alias(f"{name}_acc_r2"), (acc[2] - acc[1]).alias(f"{name}_delta")]
     return boot.join(units.groupBy(*SYSTEM).agg(*cells), SYSTEM)

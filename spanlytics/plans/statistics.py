@@ -8,6 +8,7 @@ from spanlytics.operators import agreement as G
 from spanlytics.operators import contrasts as C
 from spanlytics.operators import evaluate as E
 from spanlytics.operators import significance as S
+from spanlytics.operators.records import score_records
 from spanlytics.plans import derived as D
 from spanlytics.plans.derived_sql import KEYS as K, LABEL_LIST, h, scored, units_prefix
 from spanlytics.plans.registry import query, r6, rounded
@@ -141,13 +142,14 @@ fk as (select dataset, backend, config_id, n_units, case when p_e < 1 then (p_ba
   from pb join pe using (dataset, backend, config_id))"""
 
 
-def _units(spark, sf):
-    return scores(spark, sf).units
+def _labels(s):
+    """Unit labels of the runs of each system; units that all runs label alike are one row."""
+    return s.alike(C.SYSTEM, ["run"], "pred_label")
 
 
 @query("fleiss_kappa_runs", units_prefix((1,), FILLED, FLEISS) + f" select dataset, backend, config_id, n_units, {r6('fleiss_kappa')} fleiss_kappa from fk")
 def fleiss_kappa_runs(spark, sf):
-    u = _units(spark, sf).withColumn("label", F.coalesce("pred_label", F.lit("None")))
+    u = _labels(scores(spark, sf)).withColumn("label", F.coalesce("pred_label", F.lit("None")))
     return rounded(G.fleiss_kappa(u, "unit_id", "label", C.SYSTEM))
 
 
@@ -184,7 +186,7 @@ ag as (select dataset, backend, config_id, avg(po) pairwise_agreement, coalesce(
       from ag join fk using (dataset, backend, config_id)""",
 )
 def inter_run_agreement(spark, sf):
-    return rounded(G.inter_run_agreement(materialize(_units(spark, sf)), C.SYSTEM))
+    return rounded(G.inter_run_agreement(materialize(_labels(scores(spark, sf))), C.SYSTEM))
 
 
 @query(
@@ -262,9 +264,10 @@ MAJORITY = "maj as (select dataset, backend, config_id, unit_id, (avg(correct) >
 FAM = "dataset, backend, ablation"
 
 
-def _counts(spark, sf, rounds=(1,)):
-    s = scores(spark, sf, rounds)
-    return materialize(E.review_counts(s)), s.units
+def _counts(spark, sf, rounds=(1,), only=None):
+    """Counters by review and run, and the scores they are from; ``only`` keeps the runs of one configuration."""
+    s = scores(spark, sf, rounds) if only is None else score_records(D.records(spark, sf, rounds).filter(F.col("config_id") == only))
+    return materialize(E.review_counts(s)), s
 
 
 @query(
@@ -333,7 +336,8 @@ _PR = ", ".join(
     from st t""",
 )
 def ablation_main(spark, sf):
-    counts, units = _counts(spark, sf)
+    counts, s = _counts(spark, sf)
+    units = materialize(s.alike(["dataset", "backend"], ["config_id", "run"], "correct"))
     return rounded(C.ablation_main(counts, units, B, SEED))
 
 
@@ -353,7 +357,8 @@ def ablation_main(spark, sf):
       {r6(holm_sql('p_bootstrap', 'dataset', 'backend_b'))} p_adj_bootstrap, {r6(holm_sql('p_mcnemar', 'dataset', 'backend_b'))} p_adj_mcnemar from st""",
 )
 def backend_pairwise(spark, sf):
-    counts, units = _counts(spark, sf)
+    counts, s = _counts(spark, sf, only="F")
+    units = materialize(s.alike(["dataset"], ["backend", "config_id", "run"], "correct"))
     return rounded(C.backend_pairwise(counts, units, B, SEED))
 
 
@@ -373,8 +378,8 @@ _RUNS = ", ".join(f"sum({c}) a_{c}" for c in _C)
     from st join ag using (dataset, backend, config_id) join fk using (dataset, backend, config_id)""",
 )
 def multirun_stability(spark, sf):
-    counts, units = _counts(spark, sf)
-    return rounded(C.multirun_stability(counts, materialize(units)))
+    counts, s = _counts(spark, sf)
+    return rounded(C.multirun_stability(counts, materialize(_labels(s))))
 
 
 _LABROUND = ", ".join(
@@ -401,5 +406,8 @@ _LABOUT = ", ".join(
     from f1 join acc using (dataset, backend, config_id) join lr using (dataset, backend, config_id)""",
 )
 def round_comparison(spark, sf):
-    counts, units = _counts(spark, sf, (1, 2))
+    counts, s = _counts(spark, sf, (1, 2))
+    made = s.counts([*C.SYSTEM, "round"])
+    answers = [F.struct(F.lit(v).alias("correct"), n.alias(G.ALIKE)) for v, n in ((1, F.col("n_correct")), (0, F.col("n_units") - F.col("n_correct")))]
+    units = made.select(*C.SYSTEM, "round", F.col("label").alias("gold_label"), F.inline(F.array(*answers)))
     return rounded(C.round_comparison(counts, units, B, SEED))
