@@ -103,6 +103,18 @@ def test_piece_distances_equal_the_full_table():
     assert got.tolist() == [edits(text[a:b], p) for a, b, p in zip(starts, ends, pieces)]
 
 
+def test_piece_distances_of_repeated_pieces_in_small_lots(monkeypatch):
+    monkeypatch.setattr(N, "LOT", 7)
+    rng = random.Random(2)
+    text = "".join(rng.choice("ab cé") for _ in range(300))
+    pieces = ["".join(rng.choice("abcx ") for _ in range(n)) for n in (1, 5, 30, 45, 64)]
+    which = np.array([rng.randrange(5) for _ in range(80)])
+    starts = np.array([rng.randrange(300) for _ in which])
+    ends = np.minimum(starts + np.array([rng.randint(0, 90) for _ in which]), 300)
+    got = N.piece_distances(N.codes(text), starts, ends, [N.codes(p) for p in pieces], which)
+    assert got.tolist() == [edits(text[a:b], pieces[k]) for a, b, k in zip(starts, ends, which)]
+
+
 def spread(mapped):
     """Every character of a changed text with its source position."""
     text, at, source = mapped

@@ -126,3 +126,11 @@ def test_occurrences_and_size_of_the_text(spark):
     assert [r[0] for r in rows.select(occurrences(F.col("t"), F.col("n"))).collect()] == [2, 3, 0, 1, 2, 2]
     docs = spark.createDataFrame([(1, "é\U0001d518"), (2, None)], "review_id long, text string")
     assert {r["review_id"]: r["source_size"] for r in A.searchable(docs, "exact", False).collect()} == {1: 2, 2: 0}
+
+
+def test_texts_of_one_file_are_searched_in_many_tasks(spark):
+    docs = spark.createDataFrame([(i, SRC + f" Number {i}.") for i in range(20)], "review_id long, text string").coalesce(1)
+    wanted = spark.createDataFrame([(1, SRC[:40])], "item_id long, text string")
+    pairs = A.approximate_pairs(docs, wanted)
+    assert "RepartitionByExpression" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() == 20 == A.recover_passages(docs, wanted, "full").count()
