@@ -242,3 +242,15 @@ def test_sentence_ranges_come_with_the_row(spark):
     columns = ["review_id", "k", "start", "end", "ts", "tj"]
     assert sorted(map(tuple, ranged.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     assert "Exchange" not in ranged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_near_span_is_compared_with_few_places(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    text = " ".join(rng.choice(words) for _ in range(120))
+    span = text[200:238] + "⸮⸮" + text[240:280]
+    widths, nearest = [], N._nearest
+    monkeypatch.setattr(N, "_nearest", lambda texts, *rest: widths.extend(map(len, texts)) or nearest(texts, *rest))
+    (similarity, windows), *_ = N.best_windows([N.codes(text)], [N.codes(span)], 0.8)
+    assert similarity == pytest.approx(156 / 160) and (200, 280) in windows
+    assert sum(widths) < 150 < len(text)
