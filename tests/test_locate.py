@@ -134,3 +134,12 @@ def test_texts_of_one_file_are_searched_in_many_tasks(spark):
     pairs = A.approximate_pairs(docs, wanted)
     assert "RepartitionByExpression" in pairs._jdf.queryExecution().optimizedPlan().toString()
     assert pairs.count() == 20 == A.recover_passages(docs, wanted, "full").count()
+
+
+def test_texts_of_responses_are_dealt_once(spark):
+    docs = spark.createDataFrame([(1, SRC), (2, None)], "review_id long, text string")
+    one = "array<struct<ord:int,text:string,label_raw:string,label:string,occurrence:long,hint:int,hint_end:int>>"
+    rows = spark.createDataFrame([(i, [(1, "its second case", "Eval_neg_1", "Eval_neg", 1, None, None)]) for i in (1, 2)], f"review_id long, annotations {one}")
+    aligned = A.align_responses(rows, docs, "normalized")
+    assert aligned._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert {r["review_id"]: r["found"][0]["status"] for r in aligned.collect()} == {1: "exact", 2: "rejected"}
